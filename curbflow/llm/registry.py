@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from curbflow.llm import quality_rules, sharding
+from curbflow.llm import near_duplicates, quality_rules, sharding
 
 
 def queries():
     return {
         "op1_sharding": sharding.op1_sharding,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_simhash": near_duplicates.op4_simhash,
     }
 
 
