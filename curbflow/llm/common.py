@@ -11,8 +11,11 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows of an Arrow batch; batches are cut again by bytes where texts are long.
@@ -94,7 +97,7 @@ def binary(column: pa.Array) -> list[bytes | None]:
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts hold about `most` bytes; a longer text gets a run of its own."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start, held = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if held and held + n > most:
@@ -108,3 +111,36 @@ def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Itera
 def remainder(column: str, n: int):
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def annotate(docs: DataFrame, score, added: str, passed: list[str] | None = None) -> DataFrame:
+    """docs (all columns, or those passed) with columns computed from whole texts.
+
+    score: list of UTF-8 texts (null as None) -> list of columns, in the order of the DDL string `added`. Its names must
+    differ from those of docs. Texts arrive in runs of about SLICE_BYTES.
+    """
+    kept = docs.select(*(passed or docs.columns))
+    if "text" not in kept.columns:
+        raise ValueError("the text column must be passed")
+    new = StructType.fromDDL(added)
+    kinds = [to_arrow_type(f.dataType) for f in new.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                columns = score(binary(batch.column("text")))
+                yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [*batch.schema.names, *new.names])
+
+    return kept.mapInArrow(run, StructType([*kept.schema.fields, *new.fields]))
+
+
+def bounded_sample(labels: DataFrame, docs: DataFrame, most: int, most_bytes: int) -> DataFrame:
+    """Documents (doc_id, text, columns of labels) of a bounded sample of labelled ids, for fitting a classifier.
+
+    The ids are those with the smallest hashes, so the sample is the same at every partitioning. At most `most` ids are
+    broadcast; texts over `most_bytes` are not used for fitting. Repeated ids give their smallest text once.
+    """
+    chosen = labels.filter(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    near = docs.select("doc_id", "text").filter(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id")
+    others = [c for c in labels.columns if c != "doc_id"]
+    return near.groupBy("doc_id").agg(F.min("text").alias("text"), *[F.min(c).alias(c) for c in others]).orderBy("doc_id")
