@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curbflow.llm import language, near_duplicates, quality_rules, sharding, toxicity
+from curbflow.llm import language, near_duplicates, pieces, quality_model, quality_rules, sharding, toxicity
 
 
 def queries():
@@ -10,6 +10,8 @@ def queries():
         "op1_sharding": sharding.op1_sharding,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_simhash": near_duplicates.op4_simhash,
+        "op5_pieces": pieces.op5_pieces,
+        "op6_quality": quality_model.op6_quality,
         "op7_language": language.op7_language,
         "op8_toxicity": toxicity.op8_toxicity,
     }
