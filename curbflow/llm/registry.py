@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from curbflow.llm import language, near_duplicates, pieces, quality_model, quality_rules, sharding, toxicity
+from curbflow.llm import language, near_duplicates, neighbours, packing, pieces, quality_model, quality_rules, sharding, toxicity
 
 
 def queries():
@@ -14,6 +14,8 @@ def queries():
         "op6_quality": quality_model.op6_quality,
         "op7_language": language.op7_language,
         "op8_toxicity": toxicity.op8_toxicity,
+        "op9_neighbours": neighbours.op9_neighbours,
+        "op10_packing": packing.op10_packing,
     }
 
 
