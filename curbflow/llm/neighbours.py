@@ -20,9 +20,9 @@ from curbflow.llm.common import Store, prepare, table
 
 K = 20
 #: Pivots; places of an order that are told apart; share of all files that a query opens.
-PIVOTS, PREFIX, OPEN = 128, 64, 0.6
+PIVOTS, PREFIX, OPEN = 128, 64, 0.8
 #: Share of a block's opened members that is reranked, and the least number.
-RERANK, LEAST = 0.25, 256
+RERANK, LEAST = 0.25, 512
 #: Distinct vectors of a block.
 BLOCK = 8192
 QUERY_EVERY = 20

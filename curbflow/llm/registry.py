@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from curbflow.llm import language, near_duplicates, neighbours, packing, pieces, quality_model, quality_rules, sharding, toxicity
+from curbflow.llm import language, main_text, near_duplicates, neighbours, packing, pieces, quality_model, quality_rules, sharding, toxicity
 
 
 def queries():
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_main_text": main_text.op2_main_text,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_simhash": near_duplicates.op4_simhash,
         "op5_pieces": pieces.op5_pieces,
