@@ -9,10 +9,12 @@ documents. Every document gets its place by its rank among those of its length,
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,6 @@ CAPACITY = 1024
 END_ID = 2
 #: Steps that the local search takes at most, and pairs of classes it looks at for each.
 STEPS, PAIRS = 400, 4000
-#: Word pieces whose ids a task remembers at a time.
-REMEMBERED = 400_000
 #: Pieces of a length for each salt of the ranking.
 SALT_ROWS = 50_000
 
@@ -133,41 +133,29 @@ def places(classes: Classes) -> dict[int, tuple[np.ndarray, ...]]:
 
 
 class Tokens:
-    """Ids of whole texts, by the tokenizer over distinct word pieces.
+    """Ids of whole texts by a byte-level BPE vocabulary in the `tokenizers` library's JSON format.
 
-    The tokenizer splits a text before a lone space that stands between other characters, whatever surrounds it, so a
-    text's ids are those of its pieces cut there; each distinct piece is encoded once.
+    The ids are those of that library, special tokens' strings in a text included; merging is done by tiktoken, whose
+    ranks are the ids, since this vocabulary numbers its pieces in the order of their merges.
     """
 
+    #: How this vocabulary splits a text before merging.
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def cut(text: str) -> list[str]:
-        words = text.split(" ")
-        pieces = [words[0]]
-        for before, word in zip(words, words[1:], strict=False):
-            if before and word and not before[-1].isspace():
-                pieces.append(" " + word)
-            else:
-                pieces[-1] += " " + word
-        return pieces
+        import tiktoken
+
+        file = json.loads(Path(path).read_text("utf-8"))
+        special = {x["content"]: x["id"] for x in file["added_tokens"]}
+        # Printable bytes stand for themselves; the others, in order, are written as the characters from 256 on.
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
+        ranks = {bytes(byte[c] for c in piece): i for piece, i in file["model"]["vocab"].items() if piece not in special}
+        self.coder = tiktoken.Encoding("vocabulary", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids as little-endian 32-bit numbers."""
-        cut = [self.cut(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list(set().union(*cut).difference(self.known))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            ids = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update((p, np.array(x.ids, dtype="<u4").tobytes()) for p, x in zip(some, ids, strict=True))
-        known = self.known.__getitem__
-        return [b"".join(map(known, own)) for own in cut]
+        return [self.coder.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for t in texts]
 
 
 @cache
