@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from curbflow.plans import space
+    from curbflow.plans import days, space
 
-    return [space]
+    return [space, days]
 
 
 def queries():
