@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from curbflow.plans import days, space
+    from curbflow.plans import days, fields, signatures, space
 
-    return [space, days]
+    return [space, days, signatures, fields]
 
 
 def queries():
