@@ -7,8 +7,7 @@ word weights which sentences are to blame, and scoring returns them.
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import chain
+from array import array
 from math import exp, log1p
 
 import numpy as np
@@ -25,6 +24,8 @@ STEMS = (3, 4, 5, 6, 7, 8)
 MIN_DOCS, MAX_FEATURES = 5, 4000
 #: Words whose weight a task remembers at a time.
 REMEMBERED = 500_000
+#: Documents whose features are counted at a time.
+COUNTED = 500
 ROUNDS, RATE = 150, 0.1
 #: Pull of every word weight towards zero, which leaves most at zero: words that only happen to be near the others.
 SPARSITY = 2e-4
@@ -49,36 +50,67 @@ def features(word: bytes) -> list[bytes]:
     return [word, *[word[:n] + b"*" for n in STEMS if n <= len(word)]]
 
 
-def telling(docs: list[set[bytes]], toxic: list[int]) -> list[bytes]:
-    """The features that tell toxic from clean documents best, by the chi-squared statistic."""
-    seen, bad = Counter(chain.from_iterable(docs)), Counter(chain.from_iterable(d for d, y in zip(docs, toxic, strict=True) if y))
-    n, positive = len(docs), sum(1 for y in toxic if y)
+def telling(seen: np.ndarray, bad: np.ndarray, names: list[bytes], n: int, positive: int) -> list[int]:
+    """The features that tell toxic from clean documents best, by the chi-squared statistic.
 
-    def statistic(feature: bytes) -> float:
-        expected = seen[feature] * positive / n
-        return (bad[feature] - expected) ** 2 / (expected * (1 - expected / positive) + 1e-9) if 0 < positive < n else 0.0
-
-    return sorted((f for f, k in seen.items() if k >= MIN_DOCS), key=lambda f: (-statistic(f), f))[:MAX_FEATURES]
+    seen, bad: documents, and toxic ones, that hold each feature.
+    """
+    if not 0 < positive < n:
+        return []
+    expected = seen * positive / n
+    statistic = (bad - expected) ** 2 / (expected * (1 - positive / n) + 1e-9)
+    return sorted(np.flatnonzero(seen >= MIN_DOCS).tolist(), key=lambda f: (-statistic[f], names[f]))[:MAX_FEATURES]
 
 
 def fit(texts: list[bytes], toxic: list[int]) -> Model:
     """Bias and feature weights by full-batch Adam on the noisy-or likelihood, with a proximal step for sparsity.
 
-    Without rows: the start bias alone.
+    Without rows: the start bias alone. Words and features are numbered, and counted in arrays, some documents at a time.
     """
-    docs = [[list(chain.from_iterable(map(features, set(s.split())))) for s in sentences(t) if s.strip()] for t in texts]
-    words = telling([set().union(*d) for d in docs], toxic)
-    place = {w: i for i, w in enumerate(words)}
-    owner, at, of = [], [], []
-    for d, own in enumerate(docs):
-        for s in own or [[]]:
-            found = [place[w] for w in s if w in place]
-            of.extend(found)
-            at.extend([len(owner)] * len(found))
+    number: dict[bytes, int] = {}
+    flat, sizes, owner = array("i"), array("i"), array("i")
+    for d, text in enumerate(texts):
+        for s in [set(s.split()) for s in sentences(text) if s.strip()] or [set()]:
+            flat.extend(number.setdefault(w, len(number)) for w in s)
+            sizes.append(len(s))
             owner.append(d)
     if not owner:
         return START_BIAS, {}
-    owner, at, of, y = np.array(owner), np.array(at, dtype=np.int64), np.array(of, dtype=np.int64), np.array(toxic, dtype=float)
+    flat, owner, y = np.array(flat, dtype=np.int64), np.array(owner, dtype=np.int64), np.array(toxic, dtype=float)
+    at = np.repeat(np.arange(len(owner)), np.array(sizes))
+    names: dict[bytes, int] = {}
+    listed, starts = array("i"), [0]  # the features of every word
+    for word in number:
+        listed.extend(names.setdefault(f, len(names)) for f in features(word))
+        starts.append(len(listed))
+    listed, starts = np.array(listed, dtype=np.int64), np.array(starts)
+
+    def spread(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The features of these words, and the place of each one's word."""
+        count = starts[words + 1] - starts[words]
+        place = np.repeat(np.arange(len(words)), count)
+        first = np.repeat(starts[words] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
+        return listed[np.arange(len(place)) + first], place
+
+    seen, bad = np.zeros(len(names)), np.zeros(len(names))
+    edges = np.searchsorted(owner[at], np.arange(0, len(texts) + COUNTED, COUNTED))
+    for low, high in zip(edges, edges[1:], strict=False):
+        feature, place = spread(flat[low:high])
+        doc, feature = np.divmod(np.unique(owner[at[low:high]][place] * len(names) + feature), len(names))
+        seen += np.bincount(feature, minlength=len(names))
+        bad += np.bincount(feature, weights=y[doc], minlength=len(names))
+    texts_of = list(names)
+    chosen = telling(seen, bad, texts_of, len(texts), int((y > 0).sum()))
+    words = [texts_of[f] for f in chosen]
+    slot = np.full(len(names), -1)
+    slot[chosen] = np.arange(len(chosen))
+    useful = np.zeros(len(number), dtype=bool)
+    useful[np.repeat(np.arange(len(number)), np.diff(starts))[slot[listed] >= 0]] = True
+    kept = np.flatnonzero(useful[flat])
+    feature, place = spread(flat[kept])
+    of, at = slot[feature], at[kept][place]
+    of, at = of[of >= 0], at[of >= 0]
+    docs = range(len(texts))
     theta = np.zeros(len(words) + 1)
     theta[-1] = START_BIAS
     first, second = np.zeros_like(theta), np.zeros_like(theta)
