@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import annotate, binary, prepare, table
+from curbflow.llm.common import annotate, binary, few_by_hash, prepare, table
 
 #: Votes.
 NONE, BAD, GOOD = 0, 1, 2
@@ -153,8 +153,8 @@ def quality(docs: DataFrame, passed: list[str] | None = None) -> DataFrame:
     prepare(docs.sparkSession)
     rows = docs.select("text").mapInArrow(count_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     share, chances = estimate(np.array([r["pattern"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=float))
-    chosen = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") <= FIT_BYTES)).select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    sample = [r["text"].encode() for r in chosen.orderBy("h", "doc_id", "text").limit(FIT_DOCS).collect()]
+    chosen = few_by_hash(docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") <= FIT_BYTES)).select("doc_id", "text"), FIT_DOCS)
+    sample = sorted(r["text"].encode() for r in chosen.collect())
     packer = zstandard.ZstdCompressor(level=1)
     target = posterior(np.array([pattern(votes(t, packer)) for t in sample], dtype=np.int64), share, chances) if sample else np.empty(0)
     weights, bias = fit(sample, target)
