@@ -19,9 +19,9 @@ from pyspark.sql.types import StructType
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Rows of an Arrow batch; batches are cut again by bytes where texts are long.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 #: Bytes of text that one vectorised step handles at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -32,7 +32,8 @@ def prepare(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     for name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):
         env[name] = "1"
-    env["TOKENIZERS_PARALLELISM"] = "false"
+    # Workers serve task after task: memory that one has freed must go back to the system.
+    env |= {"TOKENIZERS_PARALLELISM": "false", "ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "1", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "262144"}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 

@@ -23,7 +23,7 @@ STEMS = (3, 4, 5, 6, 7, 8)
 #: Documents of the sample that must hold a feature for it to get a weight, and features at most: those that tell the labels apart best.
 MIN_DOCS, MAX_FEATURES = 5, 4000
 #: Words whose weight a task remembers at a time.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 #: Documents whose features are counted at a time.
 COUNTED = 500
 ROUNDS, RATE = 150, 0.1
