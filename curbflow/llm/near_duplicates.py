@@ -189,7 +189,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     store = Store(docs.sparkSession)
     kept = store.put(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
-    out = docs.join(kept.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    # The kept ids grow with the corpus, so they are never broadcast; hashing them spares a sort of the texts.
+    out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     if not kept.filter("n > 1").isEmpty():
         once = out.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
         rest = out.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id")
