@@ -16,11 +16,12 @@ SEGMENT = "struct<x1: double, y1: double, x2: double, y2: double>"
 
 
 def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-    """Great-circle distance."""
+    """Great-circle distance; null if a coordinate is."""
     a1, a2 = F.radians(lat1), F.radians(lat2)
     half_lat, half_lon = F.sin((a2 - a1) / 2), F.sin((F.radians(lon2) - F.radians(lon1)) / 2)
     a = half_lat * half_lat + F.cos(a1) * F.cos(a2) * half_lon * half_lon
-    return F.lit(2 * EARTH_MILES) * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # least() skips nulls, so a missing position must be kept apart
+    return F.when(a.isNotNull(), F.lit(2 * EARTH_MILES) * F.asin(F.least(F.lit(1.0), F.sqrt(a))))
 
 
 def segments(*points: tuple[Column, Column]) -> Column:

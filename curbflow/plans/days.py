@@ -121,7 +121,7 @@ _PHASED = views.ENRICHED + """, ph AS (SELECT *, CASE WHEN at_depot THEN 'depot'
 _HAV = "2 * 3958.7613e0 * asin(least(1e0, sqrt(pow(sin((radians({b}lat) - radians({a}lat)) / 2), 2) + cos(radians({a}lat)) * cos(radians({b}lat)) * pow(sin((radians({b}lon) - radians({a}lon)) / 2), 2))))"
 _TIMELINE = _PHASED + f""", mv AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM sg WINDOW w AS (PARTITION BY vehicle_id, day, segment_id ORDER BY dt_utc, route_id NULLS FIRST, apn NULLS FIRST, lat, lon)),
  ag AS (SELECT vehicle_id, day, segment_id, min(phase) AS ph, (array_agg(route_id ORDER BY dt_utc, lat, lon))[1] AS rt, min(dt_local) AS start_dt_local, max(dt_local) AS end_dt_local,
- sum(coalesce({_HAV.format(a='p', b='')}, 0e0)) AS miles, count(*) AS n_pings FROM mv GROUP BY ALL),
+ sum(CASE WHEN plat IS NULL THEN 0e0 ELSE {_HAV.format(a='p', b='')} END) AS miles, count(*) AS n_pings FROM mv GROUP BY ALL),
  ty AS (SELECT *, CASE WHEN ph = 'depot' AND segment_id = 1 THEN 'depot_departure' WHEN ph = 'depot' THEN 'depot_arrival' WHEN ph = 'landfill' THEN 'dump' ELSE ph END AS segment_type FROM ag),
  bl AS (SELECT *, sum(CASE WHEN segment_type LIKE 'depot%' THEN 1 ELSE 0 END) OVER (PARTITION BY vehicle_id, day ORDER BY segment_id) AS blk,
  lag(segment_type) OVER (PARTITION BY vehicle_id, day ORDER BY segment_id) AS prev FROM ty),

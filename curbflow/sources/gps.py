@@ -100,7 +100,7 @@ class RestGps:
         if self.devices is not None and (unknown := [v for v in vehicle_ids if v not in self.devices]):
             raise ValueError(f"unknown devices: {', '.join(unknown)}")
         call, options = self.call, {"devices": json.dumps(list(vehicle_ids)), "start": str(as_date(start)), "end": str(as_date(end)), "zone": self.zone}
-        schema = self.SCHEMA
+        columns = self.SCHEMA
 
         class Source(DataSource):
             @classmethod
@@ -108,9 +108,9 @@ class RestGps:
                 return "gps_rest"
 
             def schema(self):
-                return schema
+                return columns
 
-            def reader(self, _schema):
+            def reader(self, schema):
                 return RestReader(options | {"_call": call})
 
         self.spark.dataSource.register(Source)

@@ -20,9 +20,9 @@ def deduplicate(pings: DataFrame, late: str = "2 hours") -> DataFrame:
     return pings.withWatermark("dt_utc", late).dropDuplicatesWithinWatermark(["vehicle_id", "dt_utc"])
 
 
-def stop_counts(pings: DataFrame, minutes: int = 15, late: str = "2 hours") -> DataFrame:
-    """Pings of every vehicle and stop bin, emitted once the watermark has passed."""
-    marked = pings.withWatermark("dt_utc", late)
+def stop_counts(pings: DataFrame, minutes: int = 15, late: str | None = "2 hours") -> DataFrame:
+    """Pings of every vehicle and stop bin, emitted once the watermark has passed. late: None if pings have one already."""
+    marked = pings.withWatermark("dt_utc", late) if late else pings
     span = F.window("dt_utc", f"{minutes} minutes", startTime=f"{minutes * 30} seconds")
     return marked.groupBy(span, "vehicle_id").agg(F.count("*").alias("hits"), F.min(stop_bin(F.col("dt_local"), minutes)).alias("bin_id"))
 
@@ -40,10 +40,12 @@ def enrich_stream(pings: DataFrame, routes: DataFrame, parcels: DataFrame, landf
         if exists(spark, out_path):
             touched = new.select("day", "vehicle_id").distinct()
             had = spark.read.schema(new.schema).parquet(out_path).join(touched, ["day", "vehicle_id"], "left_semi").select(new.columns)
-            new = had.unionByName(new).dropDuplicates(["vehicle_id", "dt_utc", "route_id", "apn"]).checkpoint() if spark.sparkContext.getCheckpointDir() else had.unionByName(new).dropDuplicates(["vehicle_id", "dt_utc", "route_id", "apn"]).persist()
-            new.count()
+            new = had.unionByName(new).dropDuplicates(["vehicle_id", "dt_utc", "route_id", "apn"])
+        # The merged days are read from the folder that they replace: they are written beside it first.
+        beside = f"{out_path}_batch"
+        new.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(beside)
+        new = spark.read.schema(new.schema).parquet(beside)
         new.repartition("day", "vehicle_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "vehicle_id").parquet(out_path)
-        new.unpersist()
 
     writer = pings.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
