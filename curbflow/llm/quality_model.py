@@ -126,7 +126,7 @@ def places(text: bytes) -> np.ndarray:
 def fit(texts: list[bytes], target: np.ndarray) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic scorer of mean-pooled places, by full-batch Adam on soft labels, classes balanced."""
     own = [places(t) for t in texts]
-    size = np.array([len(x) for x in own])
+    size = np.array([len(x) for x in own], dtype=np.int64)
     of = np.concatenate([np.empty(0, dtype=np.int64), *own])
     doc = np.repeat(np.arange(len(own)), size)
     scale = 1 / np.maximum(1, size)
