@@ -30,6 +30,8 @@ ROUNDS, RATE = 150, 0.1
 #: Pull of every word weight towards zero, which leaves most at zero: words that only happen to be near the others.
 SPARSITY = 2e-4
 START_BIAS = -6.0
+#: What a toxic document counts against a clean one, of which there are several times as many.
+TOXIC_WEIGHT = 3.0
 THRESHOLD = 0.5
 
 #: Lower case; sentence ends to line feeds, other ASCII marks and blanks to spaces. Lengths stay as they are.
@@ -119,7 +121,7 @@ def fit(texts: list[bytes], toxic: list[int]) -> Model:
         p = 1 / (1 + np.exp(-z))
         clean = np.bincount(owner, weights=np.logaddexp(0, z), minlength=len(docs))  # minus log of the chance of a clean document
         chance = np.maximum(-np.expm1(-clean), 1e-12)
-        pull = np.where(y > 0, -(1 - chance) / chance, 1.0)
+        pull = np.where(y > 0, -TOXIC_WEIGHT * (1 - chance) / chance, 1.0)
         slope = p * pull[owner] / len(docs)
         grad = np.append(np.bincount(of, weights=slope[at], minlength=len(words)), slope.sum())
         first = 0.9 * first + 0.1 * grad
