@@ -83,6 +83,7 @@ def searcher(pivots: Pivots, open_share: float, rerank: float, k: int):
         own_places = pivots.places(order)
         opened = max(1, round(open_share * order.shape[1]))
         n_query, n_rep, n_score = [], [], []
+        room = np.empty(places.size, dtype=np.int16)  # one buffer for all queries: new ones of this size cost more than the sums
         for i, (q, name) in enumerate(zip(own, queries["rep"].to_pylist(), strict=True)):
             seen = np.zeros(order.shape[1], dtype=bool)
             seen[order[i, :opened]] = True
@@ -91,9 +92,12 @@ def searcher(pivots: Pivots, open_share: float, rerank: float, k: int):
                 continue
             keep = max(LEAST, int(rerank * len(at)))
             if keep < len(at):
-                apart = np.abs(places[:, at] - own_places[:, i : i + 1]).sum(axis=0, dtype=np.int16)
-                at = at[np.argpartition(apart, keep - 1)[:keep]]
-            score = vectors[at] @ q
+                apart = room[: len(places) * len(at)].reshape(len(places), len(at))
+                np.take(places, at, axis=1, out=apart, mode="clip")
+                np.subtract(apart, own_places[:, i : i + 1], out=apart)
+                np.abs(apart, out=apart)
+                at = at[np.argpartition(apart.sum(axis=0, dtype=np.int16), keep - 1)[:keep]]
+            score = (vectors @ q)[at]
             if len(at) > k + 1:
                 # all ties of the last place come along, so that the smaller id can win
                 at, score = at[(good := score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])], score[good]
