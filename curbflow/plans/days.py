@@ -43,8 +43,8 @@ def vehicle_day_index(spark, sf):
 
 
 def _index(spark, sf):
-    near = views.pings(spark, sf).filter("event_id % 3 = 0 AND lon < -117.2").withColumn("file", F.concat_ws("/", F.date_format("dt_local", "yyyy-MM-dd"), "vehicle_id"))
-    return vehicle_days.master_index(vehicle_days.summarise(near, "file"), layers.route_boxes(views.routes(spark, sf)))
+    filed = views.pings(spark, sf).withColumn("file", F.concat_ws("/", F.date_format("dt_local", "yyyy-MM-dd"), "vehicle_id"))
+    return vehicle_days.master_index(vehicle_days.summarise(filed, "file"), layers.route_boxes(views.routes(spark, sf)))
 
 
 def master_index(spark, sf):

@@ -1,10 +1,12 @@
 import random
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
 from curbflow.config import EngineConfig
-from curbflow.operators import dayview, ranking, timeline
+from curbflow.operators import dayview, layers, ranking, timeline
+from curbflow.plans import days, views
 
 SCHEMA = "vehicle_id string, dt_utc timestamp_ntz, dt_local timestamp_ntz, lat double, lon double, speed_mph double, route_id string, apn string, in_landfill boolean, at_depot boolean"
 KINDS = {"D": (None, False, True), "L": (None, True, False), "A": ("A", False, False), "B": ("B", False, False), "W": (None, False, False)}
@@ -95,3 +97,16 @@ def test_tonnage_window(spark):
     tickets = spark.sql("SELECT '100001' AS co_fleet_id, t AS event_dt, 2.5D AS tons FROM VALUES (TIMESTAMP_NTZ'2024-01-18 06:48:00'), (TIMESTAMP_NTZ'2024-01-18 06:48:01'), (TIMESTAMP_NTZ'2024-01-18 05:18:00') AS v(t)")
     assert dayview.load_tonnage(dumps, tickets).first().tons == 5.0
     assert dayview.load_tonnage(dumps, tickets.drop("tons")).first().tons is None
+
+
+def test_master_index_is_of_all_pings(spark):
+    boxes = [(r.route_id, r.rte_min_lon, r.rte_min_lat, r.rte_max_lon, r.rte_max_lat) for r in layers.route_boxes(views.routes(spark, DATA)).collect()]
+    held = {}
+    for r in views.pings(spark, DATA).collect():
+        held.setdefault((f"{r.dt_local:%Y-%m-%d}", r.vehicle_id), []).append((r.lon, r.lat))
+    expected = set()
+    for key, at in held.items():
+        (west, south), (east, north) = map(min, zip(*at)), map(max, zip(*at))
+        expected |= {(*key, route) for route, x1, y1, x2, y2 in boxes if not (east < x1 or west > x2 or north < y1 or south > y2)}
+    assert sorted(tuple(r) for r in days.master_index(spark, DATA).collect()) == sorted(expected)
+    assert {r.file_path for r in days.files_for_route(spark, DATA).collect()} == {f"{d}/{v}" for d, v, route in expected if route == "R6" and "2024-01-05" <= d <= "2024-01-20"}
