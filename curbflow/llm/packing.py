@@ -40,12 +40,14 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> Classes:
         left = histogram[length]
         for room in range(length, capacity):
             while left and free[room]:
+                # The fullest fitting sequence stays the fullest while it has room, so it takes copies until it has none.
                 own, many = free[room].pop()
-                used = min(left, many)
+                each = min(left, room // length)
+                used = min(left // each, many)
                 if many > used:
                     free[room].append((own, many - used))
-                free[room - length].append((own + Counter({length: 1}), used))
-                left -= used
+                free[room - each * length].append((own + Counter({length: each}), used))
+                left -= each * used
             if not left:
                 break
         each = capacity // length

@@ -432,6 +432,36 @@ def test_local_search_beats_best_fit():
         assert sum(n for _, n in last) <= sum(n for _, n in first)
 
 
+def item_by_item(histogram, capacity):
+    """Room left in each sequence after best fit decreasing, one document at a time."""
+    rooms = []
+    for length in sorted(collections.Counter(histogram).elements(), reverse=True):
+        fits = [k for k, room in enumerate(rooms) if room >= length]
+        if fits:
+            rooms[min(fits, key=rooms.__getitem__)] -= length
+        else:
+            rooms.append(capacity - length)
+    return sorted(rooms)
+
+
+def test_start_is_best_fit_decreasing():
+    draw = random.Random(4)
+    cases = [({600: 40, 30: 400}, 1024), ({600: 3, 100: 50, 7: 9, 1: 2000}, 1024)]
+    cases += [(collections.Counter(draw.choice((1, 2, 3, 5, draw.randint(1, 50))) for _ in range(draw.randint(1, 200))), 50) for _ in range(100)]
+    for histogram, capacity in cases:
+        start = packing.best_fit(histogram, capacity)
+        packed = sum((collections.Counter({n: c * many for n, c in own.items()}) for own, many in start), collections.Counter())
+        assert packed == collections.Counter(histogram)
+        assert sorted(capacity - packing.fill(own) for own, many in start for _ in range(many)) == item_by_item(histogram, capacity)
+
+
+def test_local_search_beats_item_by_item():
+    histogram = {14: 1, 12: 1, 5: 1, 3: 3}
+    last = packing.improve(packing.best_fit(histogram, 20), 20)
+    assert (len(item_by_item(histogram, 20)), sum(n for _, n in last)) == (3, 2)
+    assert sum((collections.Counter({n: c * many for n, c in own.items()}) for own, many in last), collections.Counter()) == histogram
+
+
 # Pipeline
 
 
