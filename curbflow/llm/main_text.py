@@ -45,6 +45,10 @@ CLOSES = {
     "li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}),
     "tr": frozenset({"tr", "td", "th", "p"}), "td": frozenset({"td", "th", "p"}), "th": frozenset({"td", "th", "p"}),
 }
+#: Start tags that an open head survives; others, and text, end it, as its end tag is optional.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes".split())
+#: Elements that a block ends if they have no end tag; of the second set, none holds another of its kind.
+UNCLOSED, FLAT = frozenset("svg math object select option button datalist canvas audio video".split()), frozenset("select option button".split())
 CONTAINERS = frozenset("html body article aside blockquote div dl fieldset figure footer form header main nav ol section table ul".split())
 
 _TOKEN = re.compile(
@@ -56,6 +60,23 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _PART = re.compile(r"[a-z]+")
 
 
+def unclosed(page: str) -> set[int]:
+    """Where the start tags of UNCLOSED elements without an end tag begin."""
+    found: set[int] = set()
+    opened: dict[str, list[int]] = {tag: [] for tag in UNCLOSED}
+    for token in _TOKEN.finditer(page):
+        tag = (token[3] or "").lower()
+        if tag not in UNCLOSED or not token[2] and token[0].endswith("/>"):
+            continue
+        if not token[2]:
+            if tag in FLAT and opened[tag]:
+                found.add(opened[tag].pop())
+            opened[tag].append(token.start())
+        elif opened[tag]:
+            opened[tag].pop()
+    return found.union(*opened.values())
+
+
 class Block(NamedTuple):
     text: str
     path: tuple[tuple[str, tuple[str, ...]], ...]  # (tag, parts of class, id and role), outermost first
@@ -67,6 +88,8 @@ def blocks(page: str) -> list[Block]:
     found: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     text: list[str] = []
+    starts: list[int] = []  # of the open hidden elements
+    broken: set[int] | None = None
     linked = links = hidden = 0
 
     def flush() -> None:
@@ -85,12 +108,16 @@ def blocks(page: str) -> list[Block]:
         while len(stack) > upto:
             tag = stack.pop()[0]
             links -= tag == "a"
-            hidden -= tag in HIDDEN_TEXT
+            if tag in HIDDEN_TEXT:
+                hidden -= 1
+                starts.pop()
 
     at = 0
     for token in _TOKEN.finditer(page):
-        if token.start() > at and not hidden:
-            run = page[at : token.start()]
+        run = page[at : token.start()]
+        if hidden and stack[-1][0] == "head" and run.strip():
+            close(len(stack) - 1)
+        if run and not hidden:
             text.append(run)
             linked += len(run) * (links > 0)
         at = token.end()
@@ -110,6 +137,19 @@ def blocks(page: str) -> list[Block]:
                     close(k)
                     break
             continue
+        if hidden and stack[-1][0] == "head" and tag not in IN_HEAD:
+            close(len(stack) - 1)
+        if hidden and tag in CLOSES:
+            if broken is None:
+                broken = unclosed(page)
+            upto, left = len(stack), len(starts)
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] in HIDDEN_TEXT:
+                    left -= 1
+                    if starts[left] not in broken:
+                        break
+                    upto = k
+            close(upto)
         if ends := CLOSES.get(tag):
             for k in range(len(stack) - 1, -1, -1):
                 name = stack[k][0]
@@ -123,7 +163,11 @@ def blocks(page: str) -> list[Block]:
         names = tuple(_PART.findall(" ".join(filter(None, (g for m in _NAMES.findall(token[4]) for g in m))).lower())) if "=" in (token[4] or "") else ()
         stack.append((tag, names))
         links += tag == "a"
-        hidden += tag in HIDDEN_TEXT
+        if tag in HIDDEN_TEXT:
+            hidden += 1
+            starts.append(token.start())
+    if hidden and stack[-1][0] == "head" and page[at:].strip():
+        close(len(stack) - 1)
     if at < len(page) and not hidden:
         text.append(page[at:])
     flush()

@@ -114,6 +114,26 @@ def test_odd_pages(spark):
     assert len(rows) == len(pages) and all(r.text == "" for r in rows if r.page_id in (1, 2, 5)) and main_text.main_text(own.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ("<html><head><title>T</title><meta name=a><body><p>one<p>two</html>", ["one", "two"]),
+        ("<html><head><title>T</title><link rel=x><article><p>one</article>", ["one"]),
+        ("<head><style>p{}</style>one<p>two", ["one", "two"]),
+        ("<head><title>T</title>one", ["one"]),
+        ("<head><title>T</title><meta name=a></head><p>one", ["one"]),
+        ("<div><button>Go<p>one</p><p>two</p></div>", ["one", "two"]),
+        ("<div><object data=x><p>one</p><svg><path d=1><p>two</div>", ["one", "two"]),
+        ("<select><option>A<option>B<p>one", ["one"]),
+        ("<div><button>A<p>one</p><button>B</button></div>", ["one"]),
+        ("<button><div>Go</div></button><object><p>no</p><object></object></object><select><option>A<option>B</select><p>one", ["one"]),
+        ("<button><object><p>no</p></object><p>one", ["one"]),
+    ],
+)
+def test_unclosed_hidden_elements(page, expected):
+    assert [b.text for b in main_text.blocks(page)] == expected
+
+
 # 3 Quality rules
 
 
