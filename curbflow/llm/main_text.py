@@ -51,9 +51,11 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta noframes".split()
 UNCLOSED, FLAT = frozenset("svg math object select option button datalist canvas audio video".split()), frozenset("select option button".split())
 CONTAINERS = frozenset("html body article aside blockquote div dl fieldset figure footer form header main nav ol section table ul".split())
 
+#: The rest of a start tag: a quote counts as one only after an equals sign, and one without an end is a character.
+_REST = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]{0,4096}\"|'[^']{0,4096}'|[^>\"']|[\"'])*?)>|<[!?][^>]*>",
+    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b{_REST}>.*?(?:</\1\s*>|\Z)"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_REST})>|<[!?][^>]*>",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)

@@ -134,6 +134,15 @@ def test_unclosed_hidden_elements(page, expected):
     assert [b.text for b in main_text.blocks(page)] == expected
 
 
+def test_long_attributes():
+    long = "<p>no</p>" * 2000
+    for quote in "\"'":
+        for tag in ("div", "iframe"):
+            inner = f"<{tag} data-a = {quote}{long}</{tag}>{quote} class=x>" + (f"no</{tag}>" if tag == "iframe" else "")
+            assert [b.text for b in main_text.blocks(f"{inner}<p>one</p>")] == ["one"]
+    assert [b.text for b in main_text.blocks('<p title="5" tall">one</p><p class="a">two</p><p class="b>three</p>')] == ["one", "two", "three"]
+
+
 # 3 Quality rules
 
 
