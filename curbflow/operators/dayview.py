@@ -130,7 +130,8 @@ def load_tonnage(dumps: DataFrame, tickets: DataFrame, pad_minutes: int = PAD_MI
     pad = pad_minutes * 60 * 1_000_000
     own = tickets.select(F.col(vehicle).cast("string").alias("_vehicle"), wall_micros(F.col(tip)).alias("_tip"), F.col(tons).cast("double").alias("_tons")).withColumn("_slot", F.floor(F.col("_tip") / pad))
     keyed = dumps.withColumn("_from", wall_micros(F.col("start_dt_local")) - pad).withColumn("_to", wall_micros(F.col("end_dt_local")) + pad)
-    slots = keyed.withColumn("_at", F.explode(F.sequence(F.floor(F.col("_from") / pad), F.floor(F.col("_to") / pad))))
+    # Outer: a load without a dump has no times and stays, without tons.
+    slots = keyed.withColumn("_at", F.explode_outer(F.sequence(F.floor(F.col("_from") / pad), F.floor(F.col("_to") / pad))))
     near = (F.col("vehicle_id") == F.col("_vehicle")) & (F.col("_at") == F.col("_slot")) & F.col("_tip").between(F.col("_from"), F.col("_to"))
     summed = slots.join(own, near, "left").groupBy(*dumps.columns).agg(F.sum("_tons").alias("tons"))
     return summed.select(*dumps.columns, "tons")

@@ -73,10 +73,12 @@ def trail_geojson(spark, sf):
 
 def _status(spark, sf):
     seen = views.visit_pings(spark, sf)
-    targets = seen.select("vehicle_id", F.to_date("dt_local").alias("day")).filter("day <= '2024-01-03'").distinct().withColumn("route_id", F.lit("C2"))
-    marks = views.visit_parcels(spark, sf).withColumns({"weekly1_vehicle": F.when(F.substring("APN", -1, 1) == "2", "V1"), "weekly2_vehicle": F.lit(None).cast("string"), "biweekly_vehicle": F.lit(None).cast("string")})
+    parcels = views.visit_parcels(spark, sf)
+    routes = dayview.route_members(parcels).select(F.col("member_route").alias("route_id")).distinct()
+    targets = seen.select("vehicle_id", F.to_date("dt_local").alias("day")).distinct().crossJoin(routes)
+    marks = parcels.withColumns({"weekly1_vehicle": F.when(F.substring("APN", -1, 1) == "2", "V1"), "weekly2_vehicle": F.lit(None).cast("string"), "biweekly_vehicle": F.lit(None).cast("string")})
     square = geo.box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))
-    return dayview.parcel_status(views.visit_parcels(spark, sf).withColumn("segs", square), seen, targets, marks)
+    return dayview.parcel_status(parcels.withColumn("segs", square), seen, targets, marks)
 
 
 def parcel_status(spark, sf):
@@ -92,12 +94,11 @@ def shift_summary(spark, sf):
 
 
 def _tickets(spark, sf):
-    p = views.pings(spark, sf).filter("event_id % 2 = 0")
-    return p.select(F.col("vehicle_id").alias("co_fleet_id"), F.col("dt_local").alias("event_dt"), (F.col("event_id") % 100 / F.lit(8.0)).alias("tons"))
+    return views.pings(spark, sf).select(F.col("vehicle_id").alias("co_fleet_id"), F.col("dt_local").alias("event_dt"), (F.col("event_id") % 100 / F.lit(8.0)).alias("tons"))
 
 
 def load_breakdown(spark, sf):
-    return dayview.load_breakdown(_timeline(spark, sf)).drop("tons").withColumn("miles", F.round("miles", 1))
+    return dayview.load_breakdown(_timeline(spark, sf), _tickets(spark, sf)).withColumn("miles", F.round("miles", 1))
 
 
 def load_tonnage(spark, sf):

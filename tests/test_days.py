@@ -1,4 +1,5 @@
 import random
+from datetime import timedelta
 
 import pytest
 from conftest import DATA
@@ -110,3 +111,27 @@ def test_master_index_is_of_all_pings(spark):
         expected |= {(*key, route) for route, x1, y1, x2, y2 in boxes if not (east < x1 or west > x2 or north < y1 or south > y2)}
     assert sorted(tuple(r) for r in days.master_index(spark, DATA).collect()) == sorted(expected)
     assert {r.file_path for r in days.files_for_route(spark, DATA).collect()} == {f"{d}/{v}" for d, v, route in expected if route == "R6" and "2024-01-05" <= d <= "2024-01-20"}
+
+
+def test_tons_are_of_all_pings(spark):
+    pings = [(r.vehicle_id, r.dt_local, r.event_id % 100 / 8) for r in views.pings(spark, DATA).collect()]
+    dumps = [r for r in days.timeline_segments(spark, DATA).collect() if r.segment_type == "dump"]
+    pad, tons, first = timedelta(minutes=45), {}, {}
+    for r in sorted(dumps, key=lambda r: r.segment_id):
+        near = [t for v, at, t in pings if v == r.vehicle_id and r.start_dt_local - pad <= at <= r.end_dt_local + pad]
+        tons[r.vehicle_id, r.day, r.segment_id] = sum(near)
+        first.setdefault((r.vehicle_id, r.day, r.load_number), sum(near))
+    assert {(r.vehicle_id, r.day, r.segment_id): r.tons for r in days.load_tonnage(spark, DATA).collect()} == tons
+    loads = days.load_breakdown(spark, DATA).collect()
+    kept = {(r.vehicle_id, r.day, r.load_number) for r in days.timeline_segments(spark, DATA).collect() if r.load_number is not None}
+    assert len(loads) == len(kept) and {(r.vehicle_id, r.day, r.load_number) for r in loads} == kept > set(first)
+    for r in loads:
+        assert r.tons == (pytest.approx(first[r.vehicle_id, r.day, r.load_number], abs=0.006) if r.landfill else None)
+
+
+def test_status_is_of_all_days_and_routes(spark):
+    seen = {(r.vehicle_id, r.dt_local.date()) for r in views.visit_pings(spark, DATA).collect()}
+    members = {(route, r.APN) for r in views.visit_parcels(spark, DATA).collect() for route in (r.route_ref, r.route_org)}
+    rows = [(r.vehicle_id, r.day, r.route_id, r.APN) for r in days.parcel_status(spark, DATA).collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == {(*x, *y) for x in seen for y in members}
+    assert days.parcels_geojson(spark, DATA).count() == len({(*x, y) for x in seen for y, _ in members})
