@@ -12,6 +12,7 @@ import html
 import random
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -37,7 +38,7 @@ REMEMBERED = 300_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page.
 HIDDEN_TEXT = frozenset("script style noscript template iframe svg math object head title select option button textarea datalist canvas audio video".split())
-RAW = "script|style|title|textarea|noscript|iframe|template"
+RAW = frozenset("script style title textarea noscript iframe template".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Opening one of these closes an open element of the second set, up to a container.
 CLOSES = {
@@ -51,48 +52,114 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta noframes".split()
 UNCLOSED, FLAT = frozenset("svg math object select option button datalist canvas audio video".split()), frozenset("select option button".split())
 CONTAINERS = frozenset("html body article aside blockquote div dl fieldset figure footer form header main nav ol section table ul".split())
 
-#: The rest of a start tag: a quote counts as one only after an equals sign, and one without an end is a character.
-_REST = r"""(?:=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+"""
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({RAW})\b{_REST}>.*?(?:</\1\s*>|\Z)"
-    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_REST})>|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: What ends a tag's part outside quotes: its end, or a quote, which counts as one only after an equals sign.
+_STOP = re.compile(r""">|=\s*(["'])""")
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+#: A tag without attribute values, in which no quote can begin.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>=]*+)>")
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
 
-def unclosed(page: str) -> set[int]:
+class Token(NamedTuple):
+    start: int
+    end: int
+    tag: str  # in lower case; empty for comments, declarations and elements whose content is no markup
+    closing: bool
+    empty: bool  # ends in a slash
+    rest: str  # what follows the name
+
+
+def scan(page: str) -> Iterator[Token]:
+    """The markup of a page in order, in time linear in its length.
+
+    A tag ends at the first > outside quotes. A quote without an end is a character; where quotes leave no end to the
+    tag, it ends at the first > of all, and without any it runs to the end of the page, as comments do.
+    """
+    ended = {'"': len(page), "'": len(page)}  # from here on there is no such quote
+    dead: set[int] = set()  # quotes from which no > outside quotes follows
+
+    def tag_end(at: int) -> int:
+        first, met = page.find(">", at), []
+        if first < 0:
+            return len(page)
+        while stop := _STOP.search(page, at):
+            if not (quote := stop[1]):
+                return stop.start()
+            at = stop.end()
+            if at in dead:
+                break
+            close = page.find(quote, at) if at < ended[quote] else -1
+            if close < 0:
+                ended[quote] = min(ended[quote], at)
+            else:
+                met.append(at)
+                at = close + 1
+        dead.update(met)
+        return first
+
+    at = page.find("<")
+    while at >= 0:
+        if name := _PLAIN.match(page, at):
+            end, stop = name.end(), name.end() - 1
+        elif name := _TAG.match(page, at):
+            stop = tag_end(name.end())
+            end = min(len(page), stop + 1)
+        elif page[at + 1 : at + 2] in ("!", "?"):
+            opening, closing = ("<!--", "-->") if page.startswith("<!--", at) else ("<![CDATA[", "]]>") if page.startswith("<![CDATA[", at) else ("<!", ">")
+            end = page.find(closing, at + len(opening))
+            end = len(page) if end < 0 else end + len(closing)
+            yield Token(at, end, "", False, False, "")
+        else:
+            end = at + 1
+        if name:
+            closing, tag = name[1], name[2].lower()
+            if stop == len(page):
+                tag = ""
+            elif tag in RAW and not closing:
+                last = _RAW_END[tag].search(page, end)
+                tag, end = "", last.end() if last else len(page)
+            yield Token(at, end, tag, bool(closing), page[stop - 1] == "/", page[name.end(2) : stop])
+        at = page.find("<", end)
+
+
+def unclosed(tokens: list[Token]) -> set[int]:
     """Where the start tags of UNCLOSED elements without an end tag begin."""
     found: set[int] = set()
     opened: dict[str, list[int]] = {tag: [] for tag in UNCLOSED}
-    for token in _TOKEN.finditer(page):
-        tag = (token[3] or "").lower()
-        if tag not in UNCLOSED or not token[2] and token[0].endswith("/>"):
+    for token in tokens:
+        if token.tag not in UNCLOSED or not token.closing and token.empty:
             continue
-        if not token[2]:
-            if tag in FLAT and opened[tag]:
-                found.add(opened[tag].pop())
-            opened[tag].append(token.start())
-        elif opened[tag]:
-            opened[tag].pop()
+        if not token.closing:
+            if token.tag in FLAT and opened[token.tag]:
+                found.add(opened[token.tag].pop())
+            opened[token.tag].append(token.start)
+        elif opened[token.tag]:
+            opened[token.tag].pop()
     return found.union(*opened.values())
 
 
 class Block(NamedTuple):
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]  # (tag, parts of class, id and role), outermost first
+    path: tuple[tuple[str, tuple[str, ...]], ...]  # the nearest DEPTH elements (tag, parts of class, id and role), outermost first
     linked: float  # share of the text inside links
 
 
 def blocks(page: str) -> list[Block]:
-    """The leaf blocks of a page in order. Character references are decoded and white space made single spaces."""
+    """The leaf blocks of a page in order. Character references are decoded and white space made single spaces.
+
+    Time is linear in the page, however deep its elements are nested: open elements are looked up by their tag.
+    """
     found: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[str] = []
+    path: list[tuple[str, tuple[str, ...]]] = []  # of the elements that are not inline
+    opened: dict[str, list[int]] = defaultdict(list)  # tag -> places in the stack
+    inner: list[dict[str, list[int]]] = [defaultdict(list)]  # the same for what is open inside each container
+    starts: list[tuple[int, int]] = []  # of the open hidden elements: place in the stack, and in the page
     text: list[str] = []
-    starts: list[int] = []  # of the open hidden elements
     broken: set[int] | None = None
-    linked = links = hidden = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
@@ -100,77 +167,75 @@ def blocks(page: str) -> list[Block]:
             raw = "".join(text)
             line = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if line:
-                path = tuple(x for x in stack if x[0] not in INLINE)
-                found.append(Block(line, path, min(1.0, linked / max(1, len(raw)))))
+                found.append(Block(line, tuple(path[-DEPTH:]), min(1.0, linked / max(1, len(raw)))))
             text.clear()
         linked = 0
 
+    def open_up(tag: str, names: tuple[str, ...], start: int) -> None:
+        at = len(stack)
+        stack.append(tag)
+        opened[tag].append(at)
+        if tag not in INLINE:
+            path.append((tag, names))
+            inner[-1][tag].append(at)
+        if tag in CONTAINERS:
+            inner.append(defaultdict(list))
+        if tag in HIDDEN_TEXT:
+            starts.append((at, start))
+
     def close(upto: int) -> None:
-        nonlocal links, hidden
         while len(stack) > upto:
-            tag = stack.pop()[0]
-            links -= tag == "a"
+            tag = stack.pop()
+            opened[tag].pop()
+            if tag in CONTAINERS:
+                inner.pop()
+            if tag not in INLINE:
+                path.pop()
+                inner[-1][tag].pop()
             if tag in HIDDEN_TEXT:
-                hidden -= 1
                 starts.pop()
 
-    at = 0
-    for token in _TOKEN.finditer(page):
-        run = page[at : token.start()]
-        if hidden and stack[-1][0] == "head" and run.strip():
+    def in_head() -> bool:
+        return bool(starts) and stack[-1] == "head"
+
+    at, tokens = 0, list(scan(page))
+    for token in tokens:
+        run = page[at : token.start]
+        if in_head() and run.strip():
             close(len(stack) - 1)
-        if run and not hidden:
+        if run and not starts:
             text.append(run)
-            linked += len(run) * (links > 0)
-        at = token.end()
-        tag = token[3]
+            linked += len(run) * bool(opened["a"])
+        at, tag = token.end, token.tag
         if not tag:
-            if token[1] or not token[0].startswith("<!--"):
-                text.append(" ")
             continue
-        tag = tag.lower()
         if tag not in INLINE:
             flush()
-        elif tag in ("br", "img", "wbr"):
-            text.append(" " if tag == "br" else "")
-        if token[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    close(k)
-                    break
+        elif tag == "br":
+            text.append(" ")
+        if token.closing:
+            if opened[tag]:
+                close(opened[tag][-1])
             continue
-        if hidden and stack[-1][0] == "head" and tag not in IN_HEAD:
+        if in_head() and tag not in IN_HEAD:
             close(len(stack) - 1)
-        if hidden and tag in CLOSES:
+        if starts and tag in CLOSES:
             if broken is None:
-                broken = unclosed(page)
-            upto, left = len(stack), len(starts)
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in HIDDEN_TEXT:
-                    left -= 1
-                    if starts[left] not in broken:
-                        break
-                    upto = k
-            close(upto)
-        if ends := CLOSES.get(tag):
-            for k in range(len(stack) - 1, -1, -1):
-                name = stack[k][0]
-                if name in ends:
-                    close(k)
-                    break
-                if name in CONTAINERS:
+                broken = unclosed(tokens)
+            upto = len(stack)
+            for place, start in reversed(starts):
+                if start not in broken:
                     break
-        if tag in VOID or token[0].endswith("/>"):
-            continue
-        names = tuple(_PART.findall(" ".join(filter(None, (g for m in _NAMES.findall(token[4]) for g in m))).lower())) if "=" in (token[4] or "") else ()
-        stack.append((tag, names))
-        links += tag == "a"
-        if tag in HIDDEN_TEXT:
-            hidden += 1
-            starts.append(token.start())
-    if hidden and stack[-1][0] == "head" and page[at:].strip():
+                upto = place
+            close(upto)
+        if (ends := CLOSES.get(tag)) and (place := max((inner[-1][e][-1] for e in ends if inner[-1][e]), default=-1)) >= 0:
+            close(place)
+        if tag not in VOID and not token.empty:
+            names = tuple(_PART.findall(" ".join(filter(None, (g for m in _NAMES.findall(token.rest) for g in m))).lower())) if "=" in token.rest else ()
+            open_up(tag, names, token.start)
+    if in_head() and page[at:].strip():
         close(len(stack) - 1)
-    if at < len(page) and not hidden:
+    if at < len(page) and not starts:
         text.append(page[at:])
     flush()
     return found
