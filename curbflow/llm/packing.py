@@ -10,6 +10,7 @@ documents. Every document gets its place by its rank among those of its length,
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -30,6 +31,11 @@ STEPS, PAIRS = 400, 4000
 #: Pieces of a length for each salt of the ranking.
 SALT_ROWS = 50_000
 
+#: Blanks in a row that are merged by themselves, if the pattern's matcher can't take a text.
+LONG_RUN = 10_000
+#: Unicode's white space.
+_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]++")
+
 Classes = list[tuple[Counter, int]]
 
 
@@ -154,10 +160,33 @@ class Tokens:
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         ranks = {bytes(byte[c] for c in piece): i for piece, i in file["model"]["vocab"].items() if piece not in special}
         self.coder = tiktoken.Encoding("vocabulary", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+        self.special = special
+        self.named = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids as little-endian 32-bit numbers."""
-        return [self.coder.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() for t in texts]
+        return [self.ids(t).astype("<u4").tobytes() for t in texts]
+
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.coder.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # the pattern's matcher gives up on about a million blanks in a row
+            return np.concatenate([np.empty(0, dtype=np.uint32), *self.parts(text)])
+
+    def parts(self, text: str) -> Iterator[np.ndarray]:
+        """The ids of a text with long runs of blanks, which the pattern takes as one piece, but for the last before more."""
+        for part in self.named.split(text) if self.named else [text]:
+            if part in self.special:
+                yield np.array([self.special[part]], dtype=np.uint32)
+                continue
+            at = 0
+            for run in _BLANKS.finditer(part):
+                end = run.end() - (run.end() < len(part))
+                if end - run.start() >= LONG_RUN:
+                    yield self.coder.encode_to_numpy(part[at : run.start()], disallowed_special=())
+                    yield np.array(self.coder._encode_single_piece(part[run.start() : end]), dtype=np.uint32)
+                    at = end
+            yield self.coder.encode_to_numpy(part[at:], disallowed_special=())
 
 
 @cache
