@@ -6,6 +6,10 @@ only their rank, which Zipf's law turns into one: log p = -log(rank + 1) - log(s
 A text becomes segments: a run of whitespace marks and what follows up to the next mark. No piece crosses from a
 segment into the next, so the best segmentation of a text is that of its segments, and each distinct segment is solved
 once. Distinct segments of a batch are solved together, one position at a time, by vectorised trie steps.
+
+Long segments (text without blanks) are cut further: the trie runs from all positions at once, and where no piece that
+begins before a position ends after it, the two sides are independent. What is still long is walked through piece by piece.
+A vocabulary whose pieces hold marks after other characters makes a text one long segment.
 """
 
 from __future__ import annotations
@@ -13,6 +17,8 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
+from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
@@ -28,10 +34,14 @@ _MARK = MARK.encode()
 _OWN = b"\xff"
 #: Kinds of pieces in the file format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: Steps of a score to one; the file's own numbers are no finer.
+GRID = 1 << 24
 #: An unknown character costs so much more than the worst piece.
 PENALTY = 10.0
-#: Segments that a task remembers at a time, and the longest one solved with others.
-REMEMBERED, LONG = 300_000, 64
+#: Segments that a task remembers at a time, the longest one in bytes that is solved with others, and those solved together.
+REMEMBERED, LONG, TOGETHER = 300_000, 64, 8192
+#: Positions of a long segment that the trie runs from at a time.
+POSITIONS = 1 << 16
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -72,6 +82,10 @@ def read_model(path: str) -> tuple[list[tuple[bytes, float, int]], bool]:
     return pieces, ranked
 
 
+#: Length of the character that a byte begins; 0 inside one.
+_LEAD = np.array([1] * 0x80 + [0] * 0x40 + [2] * 0x20 + [3] * 0x10 + [4] * 8 + [1] * 8, dtype=np.int32)
+
+
 class DoubleArray:
     """A trie over byte strings in two arrays: the child of state s by byte c is base[s] + c + 1 if check there is s."""
 
@@ -140,7 +154,8 @@ class Unigram:
             order = sorted(normal, key=lambda i: (-scores[i], i))
             rank = np.arange(1, len(order) + 1)
             scores[order] = -np.log(rank) - np.log((1 / rank).sum())
-        self.scores = scores
+        # To a grid on which sums are exact, so that ties are ties in whatever order pieces are added.
+        self.scores = scores = np.round(scores * GRID) / GRID
         self.trie = DoubleArray([(self.texts[i], i) for i in normal])
         self.unknown = next(i for i, k in enumerate(self.kinds) if k == UNKNOWN)
         self.unknown_score = float(scores[normal].min()) - PENALTY
@@ -150,25 +165,22 @@ class Unigram:
         self.separable = not any(crossing.search(self.texts[i]) for i in normal)
         self.plain = [int(t[3:5], 16).to_bytes() if k == BYTE else b"" if k == CONTROL else b" \xe2\x81\x87 " if k == UNKNOWN else t.replace(_MARK, b" ") for t, k in zip(self.texts, self.kinds, strict=True)]
         self.known: dict[bytes, tuple[int, ...]] = {}
-        if not self.separable:
-            raise ValueError("a piece of this vocabulary holds a whitespace mark after another character")
 
     def segments(self, text: bytes) -> list[bytes]:
-        """The normalised text (a mark before it and for every space) cut before each run of marks."""
+        """The text with a space before it (spaces stand for marks), cut before each run of spaces."""
         if not text:
             return []
-        return re.findall(rb" +[^ ]*", b" " + text)
+        return re.findall(rb" +[^ ]*", b" " + text) if self.separable else [b" " + text]
 
-    def solve(self, segments: list[bytes]) -> list[tuple[int, ...]]:
-        """Best ids of each segment, all segments together: a forward pass over start positions, then back."""
-        marked = [s.replace(_MARK, _OWN).replace(b" ", _MARK) for s in segments]
+    def solve(self, marked: list[bytes]) -> list[tuple[int, ...]]:
+        """Best ids of each segment (with its marks), all segments together: a forward pass over start positions, then back."""
         size = np.array([len(s) for s in marked])
         width = int(size.max())
         line = np.frombuffer(b"".join(s.ljust(width + 1, b"\0") for s in marked), dtype=np.uint8).reshape(len(marked), width + 1).astype(np.int32)
         best = np.full(line.shape, -np.inf)
         best[:, 0] = 0
         back, by = np.zeros(line.shape, dtype=np.int32), np.full(line.shape, -1, dtype=np.int32)
-        lead = np.where(line < 0x80, 1, np.where(line < 0xC0, 0, np.where(line < 0xE0, 2, np.where(line < 0xF0, 3, np.where(line < 0xF8, 4, 1)))))
+        lead = _LEAD[line]
         for start in range(width):
             rows = np.flatnonzero((size > start) & (best[:, start] > -np.inf))
             if not len(rows):
@@ -196,40 +208,93 @@ class Unigram:
             better = score > best[r, end]
             r, end = r[better], end[better]
             best[r, end], back[r, end], by[r, end] = score[better], start, self.unknown
-        out = []
-        for i, n in enumerate(size.tolist()):
-            ids: list[int] = []
-            starts, used = back[i].tolist(), by[i].tolist()
-            while n:
-                start, piece = starts[n], used[n]
-                if piece == self.unknown and self.bytes:
-                    ids.extend(self.bytes[c] for c in reversed(marked[i][start:n].replace(_OWN, _MARK)))
-                else:
-                    ids.append(piece)
-                n = start
-            out.append(tuple(reversed(ids)))
-        return out
-
-    def learn(self, segments: set[bytes]) -> None:
-        """Solves those segments that are not remembered, in groups of about one length."""
-        if len(self.known) + len(segments) > REMEMBERED:
+        return [self.back(m, b, p) for m, b, p in zip(marked, back, by, strict=True)]
+
+    def back(self, marked: bytes, starts: np.ndarray, used: np.ndarray) -> tuple[int, ...]:
+        """The ids on the best way to the end; starts and used: where the last piece before each position begins, and its id."""
+        ids: list[int] = []
+        starts, used, n = starts.tolist(), used.tolist(), len(marked)
+        while n:
+            start, piece = starts[n], used[n]
+            if piece == self.unknown and self.bytes:
+                ids.extend(self.bytes[c] for c in reversed(marked[start:n].replace(_OWN, _MARK)))
+            else:
+                ids.append(piece)
+            n = start
+        return tuple(reversed(ids))
+
+    def learn(self, marked: set[bytes]) -> None:
+        """Solves those short segments that are not remembered, in groups of about one length."""
+        if len(self.known) + len(marked) > REMEMBERED:
             self.known.clear()
-        new = sorted((s for s in segments if s not in self.known), key=lambda s: (len(s), s))
-        at = 0
-        while at < len(new):
-            some = new[at : at + 8192] if len(new[min(at + 8191, len(new) - 1)]) <= LONG else new[at : at + max(1, 65536 // (3 * len(new[at])))]
-            self.known.update(zip(some, self.solve(some), strict=True))
-            at += len(some)
+        new = sorted((s for s in marked if s not in self.known), key=lambda s: (len(s), s))
+        for at in range(0, len(new), TOGETHER):
+            self.known.update(zip(new[at : at + TOGETHER], self.solve(new[at : at + TOGETHER]), strict=True))
+
+    def matches(self, line: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Runs of start positions, and (starts, ends, pieces) of all pieces that begin there: (low, high, ...)."""
+        for low in range(0, len(line), POSITIONS):
+            high = min(len(line), low + POSITIONS)
+            start = low + np.flatnonzero(_LEAD[line[low:high]])
+            state, depth, found = np.zeros(len(start), dtype=np.int32), 0, []
+            while len(start):
+                inside = start + depth < len(line)
+                start, state = start[inside], state[inside]
+                state, there = self.trie.step(state, line[start + depth])
+                start, state, depth = start[there], state[there], depth + 1
+                piece = self.trie.value[state]
+                hit = piece >= 0
+                found.append((start[hit], start[hit] + depth, piece[hit]))
+            yield low, high, *(np.concatenate([x[k] for x in found]) if found else np.empty(0, dtype=np.int64) for k in range(3))
+
+    def cut(self, marked: bytes) -> list[bytes]:
+        """A long segment cut wherever no piece crosses."""
+        line = np.frombuffer(marked, dtype=np.uint8).astype(np.int32)
+        reach = np.arange(len(line)) + _LEAD[line]
+        for _, _, start, end, _ in self.matches(line):
+            np.maximum.at(reach, start, end)
+        free = np.flatnonzero((np.maximum.accumulate(reach)[:-1] <= np.arange(1, len(line))) & (_LEAD[line[1:]] > 0)) + 1
+        return [marked[a:b] for a, b in zip([0, *free.tolist()], [*free.tolist(), len(line)], strict=True)]
+
+    def walk(self, marked: bytes) -> tuple[int, ...]:
+        """Best ids of a segment that can't be cut, piece by piece."""
+        line = np.frombuffer(marked, dtype=np.uint8).astype(np.int32)
+        best = array("d", [-np.inf]) * (len(line) + 1)
+        back, by = (array("i", [-1]) * (len(line) + 1) for _ in range(2))
+        best[0] = 0.0
+        for low, high, start, end, piece in self.matches(line):
+            own = low + np.flatnonzero(_LEAD[line[low:high]])
+            whole = start[end - start == _LEAD[line[start]]]
+            lone = np.setdiff1d(own, whole, assume_unique=True)
+            start = np.concatenate([start, lone])
+            end = np.concatenate([end, np.minimum(lone + _LEAD[line[lone]], len(line))])
+            score = np.concatenate([self.scores[piece], np.full(len(lone), self.unknown_score)])
+            piece = np.concatenate([piece, np.full(len(lone), self.unknown, dtype=piece.dtype)])
+            order = np.argsort(start, kind="stable")
+            for a, b, gain, p in zip(*(x[order].tolist() for x in (start, end, score, piece)), strict=True):
+                reached = best[a] + gain
+                if reached > best[b]:
+                    best[b], back[b], by[b] = reached, a, p
+        return self.back(marked, np.frombuffer(back, dtype=np.int32), np.frombuffer(by, dtype=np.int32))
+
+    def solve_long(self, marked: bytes) -> list[int]:
+        parts = self.cut(marked)
+        self.learn({p for p in parts if len(p) <= LONG})
+        return [i for p in parts for i in (self.known[p] if len(p) <= LONG else self.walk(p))]
 
     def encode(self, texts: list[bytes]) -> list[list[int]]:
         """Ids of whole texts. An empty text has none."""
-        cut = [self.segments(t) for t in texts]
-        self.learn(set().union(*cut))
-        return [[i for s in own for i in self.known[s]] for own in cut]
+        cut = [[s.replace(_MARK, _OWN).replace(b" ", _MARK) for s in self.segments(t)] for t in texts]
+        every = set().union(*cut)
+        long = {s: self.solve_long(s) for s in every if len(s) > LONG}
+        self.learn({s for s in every if len(s) <= LONG})
+        return [[i for s in own for i in (self.known[s] if len(s) <= LONG else long[s])] for own in cut]
 
     def decode(self, ids: list[int]) -> bytes:
-        """The text of ids: marks become spaces, byte pieces their bytes, and the mark put before the text goes."""
-        return b"".join(map(self.plain.__getitem__, ids))[1:]
+        """The text of ids: marks become spaces, byte pieces their bytes, and a mark that begins the first piece goes."""
+        text = b"".join(map(self.plain.__getitem__, ids))
+        first = next((i for i in ids if self.kinds[i] != CONTROL), None)
+        return text[1:] if first is not None and self.kinds[first] != BYTE and self.texts[first].startswith(_MARK) else text
 
 
 @cache
