@@ -1,7 +1,9 @@
 """The corpus pipeline: toxic documents go, then those in no known language, then near copies; the rest is packed.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next one's
-docs. All but the last return the columns of docs.
+docs. All but the last return the columns of docs, whatever their names. Null, empty and blank texts pass the first stage
+and go in the second, where they are in no language; repeated rows are near copies of each other; an empty table stays
+empty.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from curbflow.llm import language, near_duplicates, packing, toxicity
-from curbflow.llm.common import Store, remainder, table
+from curbflow.llm.common import Store, closing_others, remainder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +41,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; intermediate tables go to the shared folder."""
-    docs, store = table(spark, sf_dir, "documents"), None
+    """All stages over documents; what a stage has left in the shared folder goes once the next one's input is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        store = store or Store(spark)
-        docs = store.put(stage(spark, docs, sf_dir))
+        store = Store(spark)
+        with closing_others(store):
+            docs = store.put(stage(spark, docs, sf_dir))
+        if before:
+            before.close()
+        before = store
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,20 +15,19 @@ def components(edges: DataFrame, store: Store) -> DataFrame:
     shortens paths; the number of rounds grows with the logarithm of the longest shortest path. Rounds are written to
     the shared folder, and a round's table is dropped once the next is written.
     """
-    both, both_at = store.put_at(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state, at = store.put_at(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("parent")))
+    both = store.put(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = store.put(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("parent")))
     while True:
         parent = state.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        grand, grand_at = store.put_at(state.join(parent, "parent").select("node", "parent", "grand"))
+        grand = store.put(state.join(parent, "parent").select("node", "parent", "grand"))
         near = both.join(grand.select(F.col("node").alias("b"), "grand"), "b").groupBy(F.col("a").alias("node")).agg(F.min("grand").alias("near"))
         known = grand.join(near, "node")
         proposals = known.select("node", F.least("parent", "grand", "near").alias("to")).union(known.select(F.col("parent").alias("node"), F.col("near").alias("to")))
-        new, new_at = store.put_at(proposals.groupBy("node").agg(F.min("to").alias("parent")))
+        new = store.put(proposals.groupBy("node").agg(F.min("to").alias("parent")))
         moved = new.join(grand.select("node", F.col("parent").alias("old"), "grand"), "node").filter((F.col("parent") != F.col("old")) | (F.col("grand") != F.col("old")))
         done = moved.isEmpty()
-        for path in (at, grand_at):
-            store.drop(path)
-        state, at = new, new_at
+        store.drop(state, grand)
+        state = new
         if done:
-            store.drop(both_at)
+            store.drop(both)
             return state.select("node", F.col("parent").alias("label"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import annotate, binary, remainder, slices, table
+from curbflow.llm.common import annotate, binary, columns, remainder, slices, table, unused
 
 ORDERS = (1, 2, 3, 4)
 PLACES = 1 << 16
@@ -137,7 +137,7 @@ def identify(docs: DataFrame, train: DataFrame, passed: list[str] | None = None)
 
     train: the rows (lang, text) to learn from. Null texts and texts without a letter are `und` with score 0, and so is
     every text if nothing can be learned. Ties go to the first language in the alphabet. Very long texts are read whole.
-    Repeated rows are predicted alike; an empty table gives no rows.
+    Repeated rows are predicted alike; an empty table gives no rows. Columns of docs called like the new ones give way.
     """
     return annotate(docs, predictor(learn(train)), "lang_pred string, lang_score double", passed)
 
@@ -149,6 +149,10 @@ def op7_language(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, train: DataFrame) -> DataFrame:
-    """Rows whose text is in one of the learned languages: not `und`, and near enough to the profile."""
-    found = identify(docs, train)
-    return found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("lang_score") >= MIN_SCORE)).select(docs.columns)
+    """Rows whose text is in one of the learned languages: not `und`, and near enough to the profile.
+
+    Columns of docs stay as they are, whatever their names. Null texts and texts without a letter go.
+    """
+    lang, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
+    found = annotate(docs, predictor(learn(train)), f"{lang} string, {score} double")
+    return found.filter((F.col(lang) != UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(columns(docs.columns))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import Store, binary, prepare, table
+from curbflow.llm.common import Store, annotate, binary, columns, prepare, slices, table, unused
 from curbflow.llm.components import components
 
 SEED = 42
@@ -53,9 +53,10 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = np.fromiter(map(fingerprint, binary(batch.column("text"))), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            found = np.fromiter(map(fingerprint, binary(batch.column("text"))), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
 
 def masks(radius: int, level: int, bits: int = 64) -> list[int]:
@@ -157,6 +158,19 @@ def links(distinct: DataFrame, store: Store, radius: int = RADIUS, most: int = B
             return found
 
 
+def classes(docs: DataFrame, store: Store, radius: int = RADIUS, most: int = BUCKET) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, label, component_id) of every fingerprint; label is one of its group."""
+    prints = store.put(docs.select("doc_id", "text").mapInArrow(fingerprints, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long"))
+    distinct = store.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    inner = Store(store.spark)
+    labels = components(links(distinct.select("fp"), inner, radius, most), inner).withColumnRenamed("node", "fp")
+    named = store.put(distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    inner.close()
+    store.drop(distinct)
+    ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    return prints, named.select("fp", "label").join(ids, "label").select("fp", "label", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs (doc_id, text); fp is the fingerprint as a signed long.
 
@@ -164,14 +178,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, most: int = BUCKET) -
     among them, are handled as one: they are linked without pairs. A row without doc_id is linked too but names no
     component; a component of such rows only has a null id. An empty table gives no rows. Other columns are ignored.
     """
-    spark = prepare(docs.sparkSession)
-    store = Store(spark)
-    prints = store.put(docs.select("doc_id", "text").mapInArrow(fingerprints, "doc_id long, fp long"))
-    distinct = store.put(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    labels = components(links(distinct.select("fp"), store, radius, most), store).withColumnRenamed("node", "fp")
-    named = distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    ids = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    by_print = named.select("fp", "label").join(ids, "label").select("fp", "component_id")
+    prints, by_print = classes(docs, Store(prepare(docs.sparkSession)), radius, most)
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -181,20 +188,27 @@ def op4_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest doc_id.
+    """One row of each group of near duplicates: of the rows with its smallest doc_id, the first by text.
 
-    doc_id names a document: of rows that share one, the first by text stays. Rows without doc_id cannot be named as
-    the copy of another and stay.
+    Groups without any doc_id keep a row too, of the others rows without doc_id go. Where rows of one id lie in several
+    groups that it names, each of these keeps a row. Of rows with equal texts the first by their other columns stays.
+    Columns of docs stay as they are, whatever their names.
     """
-    found = near_duplicates(docs)
-    store = Store(docs.sparkSession)
-    kept = store.put(found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").agg(F.count("*").alias("n")))
+    store = Store(prepare(docs.sparkSession))
+    prints, by_print = classes(docs, store)
+    heads = F.count_if(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = store.put(prints.join(by_print, "fp").groupBy("doc_id").agg(F.count("*").alias("n"), heads.alias("heads")).filter("heads > 0"))
+    one, fields = F.col("doc_id").isNotNull() & (F.col("n") == 1), columns(docs.columns)
+    several = named.filter("doc_id IS NOT NULL AND n > 1").select("doc_id")
     # The kept ids grow with the corpus, so they are never broadcast; hashing them spares a sort of the texts.
-    out = docs.join(kept.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
-    if not kept.filter("n > 1").isEmpty():
-        once = out.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
-        rest = out.join(kept.filter("n > 1").select("doc_id"), "doc_id", "left_semi").groupBy("doc_id")
-        others = [c for c in docs.columns if c != "doc_id"]
-        row = rest.agg(F.min(F.struct("text", *[c for c in others if c != "text"])).alias("row")).select("doc_id", "row.*")
-        out = once.unionByName(row.select(docs.columns))
-    return out.unionByName(docs.filter(F.col("doc_id").isNull()))
+    out = docs.join(named.filter(one).select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(fields)
+    if named.filter(~one).isEmpty():
+        return out
+    # The fingerprints of rows that their id does not tell apart say which group each one is of.
+    fp, label, component, row = (unused(docs, x) for x in ("fp", "label", "component", "row"))
+    rest = docs.join(several, "doc_id", "left_semi").select(fields).unionByName(docs.filter(F.col("doc_id").isNull()))
+    rest = annotate(rest, lambda texts: [[signed(fingerprint(t)) for t in texts]], f"{fp} long")
+    groups = by_print.select(F.col("fp").alias(fp), F.col("label").alias(label), F.col("component_id").alias(component))
+    rest = rest.join(groups, fp).filter(F.col("doc_id").eqNullSafe(F.col(component)))
+    first = F.min_by(F.struct(fields), F.struct("text", F.to_json(F.struct(fields))))
+    return out.unionByName(rest.groupBy("doc_id", label).agg(first.alias(row)).select(f"{row}.*"))

@@ -1,16 +1,20 @@
 """Approximate nearest neighbours by a permutation index.
 
 Pivots are a bounded sample of the vectors. A vector is represented by the order of its nearest pivots and is posted in
-the inverted file of its nearest one. A query opens the files of its own nearest pivots, ranks their members by the
-footrule distance between the two orders, and reranks the best share of each file exactly.
+the inverted file of its nearest one. A query opens the files of its own nearest pivots (a share of all, or what holds a
+few times K vectors), ranks their members by the footrule distance between the two orders, taken over the query's
+nearest pivots, and reranks the best of each block exactly; no other member's score is computed.
 
 Equal vectors are indexed once, with their smallest ids: as ties go to the smaller id, no more than K + 1 of them can
-ever be among K neighbours. Files are dealt to blocks of bounded size: large ones are cut, small ones share a block. A
-block is searched by one task for all queries that open it.
+ever be among K neighbours. Files are dealt to blocks of about one size: large ones are cut, small ones share a block. A
+block is searched by one task for all queries that open it. Vectors of another length have pivots, files and blocks of
+their own. A vector is known by its smallest id and a hash, as one id can have several vectors.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -19,12 +23,12 @@ from pyspark.sql import functions as F
 from curbflow.llm.common import Store, prepare, table
 
 K = 20
-#: Pivots; places of an order that are told apart; share of all files that a query opens.
-PIVOTS, PREFIX, OPEN = 128, 64, 0.8
-#: Share of a block's opened members that is reranked, and the least number.
-RERANK, LEAST = 0.25, 512
-#: Distinct vectors of a block.
-BLOCK = 8192
+#: Pivots of a length; the query's nearest pivots that the footrule is taken over; share of all files that a query opens.
+PIVOTS, PREFIX, OPEN = 256, 96, 0.75
+#: What is reranked of a block: a share of its opened members, and so many for each neighbour that is wanted.
+RERANK, MARGIN = 0.15, 4
+#: Distinct vectors of a block, about.
+BLOCK = 2048
 QUERY_EVERY = 20
 
 
@@ -41,131 +45,181 @@ def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 class Pivots:
-    def __init__(self, vectors: np.ndarray):
+    """The pivots of one length. Their files are numbered from `first` on."""
+
+    def __init__(self, vectors: np.ndarray, first: int):
         self.vectors = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        self.first = first
+        self.sizes = np.zeros(len(vectors), dtype=np.int64)  # of the files, once they are known
 
     def order(self, vectors: np.ndarray) -> np.ndarray:
         """For each vector its pivots, nearest first."""
         return np.argsort(-(vectors @ self.vectors.T), axis=1, kind="stable")
 
     def places(self, order: np.ndarray) -> np.ndarray:
-        """For each vector the place of every pivot in its order, cut at PREFIX; pivots are rows."""
-        at = np.empty_like(order)
-        np.put_along_axis(at, order, np.arange(order.shape[1])[None, :], axis=1)
-        return np.ascontiguousarray(np.minimum(at, PREFIX).T.astype(np.int16))
-
-
-def plan_blocks(sizes: dict[int, int], block: int) -> dict[int, list[int]]:
-    """File -> its blocks: as many as its size needs; files of less than a block share one while it has room."""
-    plan, number, room = {}, -1, 0
+        """For each vector the place of every pivot in its order; pivots are rows."""
+        at = np.empty(order.shape, dtype=np.min_scalar_type(order.shape[1] - 1))
+        np.put_along_axis(at, order, np.arange(order.shape[1], dtype=at.dtype)[None, :], axis=1)
+        return np.ascontiguousarray(at.T)
+
+    def opens(self, order: np.ndarray, share: float, least: int) -> np.ndarray:
+        """Which files each query opens: that share of them, or as many as hold the least number of vectors."""
+        before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+        taken = (np.arange(order.shape[1]) < share * order.shape[1]) | (before < least)
+        out = np.empty_like(taken)
+        np.put_along_axis(out, order, taken, axis=1)
+        return out
+
+
+def plan_blocks(sizes: dict[int, int], block: int, start: int = 0) -> dict[int, list[int]]:
+    """File -> its blocks, numbered from start on, of about one size: large files are cut, each other one goes to the emptiest block."""
+    total = sum(sizes.values())
+    most = -(-total // -(-total // block)) if total else 0
+    plan = {}
     for file, n in sorted(sizes.items()):
-        if n > block:
-            parts = -(-n // block)
-            plan[file] = list(range(number + 1, number + 1 + parts))
-            number, room = number + parts, 0
-        else:
-            if n > room:
-                number, room = number + 1, block
-            plan[file] = [number]
-            room -= n
+        if n > most:
+            plan[file] = list(range(start, start + -(-n // most)))
+            start += len(plan[file])
+    small = sorted((f for f in sizes if f not in plan), key=lambda f: (-sizes[f], f))
+    bins = [(0, start + i) for i in range(-(-sum(sizes[f] for f in small) // most))] if small else []
+    for file in small:
+        filled, number = heapq.heappop(bins)
+        plan[file] = [number]
+        heapq.heappush(bins, (filled + sizes[file], number))
     return plan
 
 
-def searcher(pivots: Pivots, open_share: float, rerank: float, k: int):
+def footrule(places: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Each member's footrule distance over these pivots, whose places for the query are 0, 1, 2 ..."""
+    own = np.arange(len(near), dtype=places.dtype)[:, None]
+    theirs = places[near]
+    apart = np.maximum(theirs, own)
+    apart -= np.minimum(theirs, own, out=theirs)
+    kind = np.min_scalar_type(len(near) * len(places))  # wide enough for the sums
+    return apart.astype(kind).sum(axis=0, dtype=kind)
+
+
+def searcher(indexes: dict[int, Pivots], open_share: float, prefix: int, rerank: float, k: int):
+    schema = pa.schema([("query", pa.int64()), ("query_tag", pa.int64()), ("rep", pa.int64()), ("tag", pa.int64()), ("score", pa.float64())])
+
     def search(members: pa.Table, queries: pa.Table) -> pa.Table:
-        schema = pa.schema([("query", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
         if not members.num_rows or not queries.num_rows:
             return schema.empty_table()
-        vectors, ids, files = matrix(members["embedding"]), members["rep"].to_numpy(), members["file"].to_numpy()
-        places = pivots.places(pivots.order(vectors))
-        own = matrix(queries["embedding"])
-        order = pivots.order(own)
-        own_places = pivots.places(order)
-        opened = max(1, round(open_share * order.shape[1]))
-        n_query, n_rep, n_score = [], [], []
-        room = np.empty(places.size, dtype=np.int16)  # one buffer for all queries: new ones of this size cost more than the sums
-        for i, (q, name) in enumerate(zip(own, queries["rep"].to_pylist(), strict=True)):
-            seen = np.zeros(order.shape[1], dtype=bool)
-            seen[order[i, :opened]] = True
-            at = np.flatnonzero(seen[files])
-            if not len(at):
+        vectors, own = matrix(members["embedding"]), matrix(queries["embedding"])
+        pivots = indexes[vectors.shape[1]]
+        ids, tags, files = (members[c].to_numpy() for c in ("rep", "tag", "file"))
+        files = files - pivots.first
+        places, order = pivots.places(pivots.order(vectors)), pivots.order(own)
+        opens, found = pivots.opens(order, open_share, MARGIN * k), []
+        for i, q in enumerate(own):
+            seen = opens[i][files]
+            n = int(np.count_nonzero(seen))
+            if not n:
                 continue
-            keep = max(LEAST, int(rerank * len(at)))
-            if keep < len(at):
-                apart = room[: len(places) * len(at)].reshape(len(places), len(at))
-                np.take(places, at, axis=1, out=apart, mode="clip")
-                np.subtract(apart, own_places[:, i : i + 1], out=apart)
-                np.abs(apart, out=apart)
-                at = at[np.argpartition(apart.sum(axis=0, dtype=np.int16), keep - 1)[:keep]]
-            score = (vectors @ q)[at]
+            keep = int(np.ceil(rerank * n)) + MARGIN * k
+            if keep < n:
+                apart = footrule(places, order[i, :prefix])
+                apart[~seen] = np.iinfo(apart.dtype).max
+                at = np.argpartition(apart, keep - 1)[:keep]
+            else:
+                at = np.flatnonzero(seen)
+            score = vectors[at] @ q
             if len(at) > k + 1:
-                # all ties of the last place come along, so that the smaller id can win
-                at, score = at[(good := score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1])], score[good]
-            n_query.append(np.full(len(at), name))
-            n_rep.append(ids[at])
-            n_score.append(score)
-        if not n_query:
+                # k + 1 ids, and all ties of the last place, so that the smaller id can win
+                good = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]
+                if len(np.unique(ids[at[good]])) <= k:  # ids with several vectors
+                    best = np.argsort(-score, kind="stable")
+                    first = np.sort(np.unique(ids[at[best]], return_index=True)[1])
+                    good = score >= score[best[first[min(k, len(first) - 1)]]]
+                    if len(first) <= k:
+                        good[:] = True
+                at, score = at[good], score[good]
+            found.append((i, at, score))
+        if not found:
             return schema.empty_table()
-        return pa.table([np.concatenate(x) for x in (n_query, n_rep, n_score)], schema=schema)
+        who = np.repeat([i for i, _, _ in found], [len(at) for _, at, _ in found])
+        at, score = (np.concatenate([x[c] for x in found]) for c in (1, 2))
+        return pa.table([queries["rep"].to_numpy()[who], queries["tag"].to_numpy()[who], ids[at], tags[at], score], schema=schema)
 
     return search
 
 
-def neighbours(vectors: DataFrame, queries, k: int = K, pivots: int = PIVOTS, open_share: float = OPEN, rerank: float = RERANK, block: int = BLOCK) -> DataFrame:
+def by_length(batch: pa.RecordBatch):
+    """Parts of a batch whose vectors have one length."""
+    sizes = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes):
+        yield int(size), batch.take(pa.array(np.flatnonzero(sizes == size)))
+
+
+def neighbours(vectors: DataFrame, queries, k: int = K, pivots: int = PIVOTS, open_share: float = OPEN, rerank: float = RERANK, block: int = BLOCK, prefix: int = PREFIX) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of vectors (vec_id, embedding) by inner product.
 
     queries: Column that is true for the rows to search for; candidates are all rows but the query's own (rows of its
     vec_id). Ties go to the smaller vec_id; fewer candidates give fewer rows. Vectors that are null, zero or hold null or
-    non-finite components, rows without vec_id, and vectors of another length than that of the smallest id take no part.
-    Repeated rows of one id count once. An empty table gives no rows. Other columns are ignored.
+    non-finite components, and rows without vec_id, take no part. Vectors are searched among those of their length; up to
+    `pivots` of each length are held by the driver. Repeated rows of one id count once; an id with several vectors is as
+    near as the nearest of them, as a query and as a candidate. An empty table gives no rows. Other columns are ignored.
     """
     spark = prepare(vectors.sparkSession)
     store = Store(spark)
-    valid = vectors.filter(F.col("vec_id").isNotNull() & usable()).withColumn("asked", queries).select("vec_id", "embedding", "asked")
-    length = valid.agg(F.min_by(F.size("embedding"), "vec_id").alias("n")).first()["n"]
-    empty = "query_id long, rank int, vec_id long, score double"
-    if length is None:
-        return spark.createDataFrame([], empty)
-    valid = store.put(valid.filter(F.size("embedding") == length))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    valid = store.put(vectors.filter(F.col("vec_id").isNotNull() & usable()).withColumn("asked", queries).select("vec_id", "embedding", "asked"))
     # The K + 1 smallest ids of every distinct vector; hot vectors are cut before the shuffle by the group limit.
     smallest = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     few = valid.groupBy("embedding", "vec_id").agg(F.max("asked").alias("asked")).withColumn("n", smallest).filter(F.col("n") <= k + 1)
-    distinct = store.put(few.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    chosen = distinct.select("embedding").orderBy(F.xxhash64("rep"), "rep").limit(pivots).collect()
-    index = Pivots(np.array([r["embedding"] for r in chosen], dtype=np.float64))
+    distinct = few.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    distinct = store.put(distinct.select("rep", F.xxhash64("embedding").alias("tag"), "embedding", "ids"))
+    picked = Window.partitionBy(F.size("embedding")).orderBy(F.xxhash64("rep", "tag"), "rep", "tag")
+    chosen = distinct.select("embedding", F.size("embedding").alias("size"), F.row_number().over(picked).alias("n")).filter(F.col("n") <= pivots).orderBy("size", "n").collect()
+    indexes: dict[int, Pivots] = {}
+    for size in sorted({r["size"] for r in chosen}):
+        first = sum(len(x.vectors) for x in indexes.values())
+        indexes[size] = Pivots(np.array([r["embedding"] for r in chosen if r["size"] == size], dtype=np.float64), first)
+    if not indexes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
     def post(batches):
         for batch in batches:
-            nearest = index.order(matrix(batch.column("embedding")))[:, 0]
-            yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("embedding"), pa.array(nearest)], ["rep", "embedding", "file"])
-
-    kind = distinct.schema["embedding"].dataType.simpleString()
-    posted = store.put(distinct.select("rep", "embedding").mapInArrow(post, f"rep long, embedding {kind}, file long"))
-    plan = plan_blocks({r["file"]: r["count"] for r in posted.groupBy("file").count().collect()}, block)
-    blocks = F.array(*[F.array(*map(F.lit, plan.get(f, [-1]))) for f in range(len(chosen))])
-    parts = F.element_at(blocks, (F.col("file") + 1).cast("int"))
-    members = posted.withColumn("block", F.element_at(parts, (F.pmod(F.xxhash64("rep"), F.size(parts)) + 1).cast("int")))
-
-    asked = store.put(valid.filter("asked").select("vec_id", "embedding").distinct().join(distinct.select("embedding", "rep"), "embedding").select("vec_id", "rep"))
-    wanted = distinct.select("rep", "embedding").join(asked.select("rep").distinct(), "rep", "left_semi")
+            for size, part in by_length(batch):
+                nearest = indexes[size].first + indexes[size].order(matrix(part.column("embedding")))[:, 0]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(nearest)], ["rep", "tag", "embedding", "file"])
+
+    posted = store.put(distinct.select("rep", "tag", "embedding").mapInArrow(post, f"rep long, tag long, embedding {kind}, file long"))
+    sizes = {r["file"]: r["count"] for r in posted.groupBy("file").count().collect()}
+    plan: dict[int, list[int]] = {}
+    for index in indexes.values():
+        own = {f: sizes[f] for f in range(index.first, index.first + len(index.vectors)) if f in sizes}
+        index.sizes[[f - index.first for f in own]] = list(own.values())
+        plan |= plan_blocks(own, block, 1 + max((b for bs in plan.values() for b in bs), default=-1))
+    parts = F.element_at(F.array(*[F.array(*map(F.lit, plan.get(f, [-1]))) for f in range(len(chosen))]), (F.col("file") + 1).cast("int"))
+    members = posted.withColumn("block", F.element_at(parts, (F.pmod(F.xxhash64("rep", "tag"), F.size(parts)) + 1).cast("int")))
+
+    asked = store.put(valid.filter("asked").select("vec_id", "embedding").distinct().join(distinct.select("embedding", "rep", "tag"), "embedding").select("vec_id", F.col("rep").alias("query"), F.col("tag").alias("query_tag")))
+    store.drop(valid)
+    wanted = posted.select("rep", "tag", "embedding").join(asked.select(F.col("query").alias("rep"), F.col("query_tag").alias("tag")).distinct(), ["rep", "tag"], "left_semi")
 
     def open_files(batches):
-        opened = max(1, round(open_share * len(chosen)))
         for batch in batches:
-            order = index.order(matrix(batch.column("embedding")))[:, :opened]
-            to = [sorted({b for f in row for b in plan.get(f, ())}) for row in order.tolist()]
-            at = np.repeat(np.arange(len(to)), [len(x) for x in to])
-            part = batch.take(pa.array(at))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([b for x in to for b in x], pa.int32())], ["rep", "embedding", "block"])
-
-    searches = wanted.select("rep", "embedding").mapInArrow(open_files, f"rep long, embedding {kind}, block int")
-    found = members.groupBy("block").cogroup(searches.groupBy("block")).applyInArrow(searcher(index, open_share, rerank, k), "query long, rep long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
-    top = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k + 1).drop("place")
-    ids = top.join(distinct.select("rep", "ids"), "rep").select("query", "score", F.explode("ids").alias("vec_id"))
-    nearest = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    top_ids = ids.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k + 1).drop("place")
-    pairs = asked.select(F.col("vec_id").alias("query_id"), F.col("rep").alias("query")).join(top_ids, "query").filter(F.col("vec_id") != F.col("query_id"))
+            for size, own in by_length(batch):
+                index = indexes[size]
+                opens = index.opens(index.order(matrix(own.column("embedding"))), open_share, MARGIN * k)
+                to = [sorted({b for f in np.flatnonzero(row).tolist() for b in plan.get(index.first + f, ())}) for row in opens]
+                part = own.take(pa.array(np.repeat(np.arange(len(to)), [len(x) for x in to])))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([b for x in to for b in x], pa.int32())], ["rep", "tag", "embedding", "block"])
+
+    searches = wanted.select("rep", "tag", "embedding").mapInArrow(open_files, f"rep long, tag long, embedding {kind}, block int")
+    search = searcher(indexes, open_share, prefix, rerank, k)
+    found = members.groupBy("block").cogroup(searches.groupBy("block")).applyInArrow(search, "query long, query_tag long, rep long, tag long, score double")
+    # The vectors of k + 1 different smallest ids, then k + 1 different ids, which leaves k besides the query's own.
+    asker = Window.partitionBy("query", "query_tag")
+    new = F.row_number().over(Window.partitionBy("query", "query_tag", "rep").orderBy(F.desc("score"), "tag")) == 1
+    so_far = F.sum(F.col("new").cast("int")).over(asker.orderBy(F.desc("score"), "rep", "tag").rowsBetween(Window.unboundedPreceding, 0))
+    top = found.withColumn("new", new).withColumn("so_far", so_far).filter(F.col("so_far") <= k + 1).select("query", "query_tag", "rep", "tag", "score")
+    ids = top.join(distinct.select("rep", "tag", "ids"), ["rep", "tag"]).select("query", "query_tag", "score", F.explode("ids").alias("vec_id")).repartition("query", "query_tag")
+    ids = ids.groupBy("query", "query_tag", "vec_id").agg(F.max("score").alias("score"))
+    ids = ids.withColumn("place", F.row_number().over(asker.orderBy(F.desc("score"), "vec_id"))).filter(F.col("place") <= k + 1).drop("place")
+    pairs = asked.withColumnRenamed("vec_id", "query_id").join(ids, ["query", "query_tag"]).filter(F.col("vec_id") != F.col("query_id"))
+    pairs = pairs.select("query_id", "vec_id", "score").repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).alias("rank")
     return pairs.select("query_id", rank, "vec_id", "score").filter(F.col("rank") <= k)
 

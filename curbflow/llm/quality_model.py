@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +18,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import annotate, binary, few_by_hash, prepare, table
+from curbflow.llm.common import Store, annotate, binary, few_by_hash, fitting_texts, prepare, slices, table
 
 #: Votes.
 NONE, BAD, GOOD = 0, 1, 2
-#: Bounds of the sample that the scorer is fitted on.
-FIT_DOCS, FIT_BYTES = 4000, 20_000
+#: Bounds of the sample that the scorer is fitted on: documents, and bytes of all their texts.
+FIT_DOCS, FIT_BYTES = 4000, 12 << 20
 PLACES = 1 << 18
 EM_ROUNDS, FIT_ROUNDS, RATE, DECAY = 60, 80, 0.3, 1e-6
 #: Share of good documents that EM starts from.
@@ -82,11 +81,12 @@ def digits(patterns: np.ndarray) -> np.ndarray:
     return patterns[:, None] // 3 ** np.arange(LABELLERS - 1, -1, -1) % 3
 
 
-def count_patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    packer, seen = zstandard.ZstdCompressor(level=1), Counter()
-    for batch in batches:
-        seen.update(pattern(votes(t or b"", packer)) for t in binary(batch.column("text")))
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["pattern", "n"])
+def cast_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    packer = zstandard.ZstdCompressor(level=1)
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            texts = [t or b"" for t in binary(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([pattern(votes(t, packer)) for t in texts], pa.int64())], ["doc_id", "n_bytes", "pattern"])
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray]:
@@ -148,13 +148,17 @@ def quality(docs: DataFrame, passed: list[str] | None = None) -> DataFrame:
 
     Votes are counted over all documents, of which there are at most 3^9 patterns; the scorer is fitted on a bounded
     sample by hash of the id. kept: a score of one half or more. Null, empty and blank texts get a bad vote, no features
-    and are not kept. Texts are read whole, repeated rows judged alike; an empty table gives no rows.
+    and are not kept. Texts are read whole, repeated rows judged alike; an empty table gives no rows. Columns of docs
+    called like the new ones give way.
     """
-    prepare(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(count_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    store = Store(prepare(docs.sparkSession))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    cast = store.put(docs.select("doc_id", "text").mapInArrow(cast_votes, f"doc_id {kind}, n_bytes long, pattern long"))
+    rows = cast.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").collect()
     share, chances = estimate(np.array([r["pattern"] for r in rows], dtype=np.int64), np.array([r["n"] for r in rows], dtype=float))
-    chosen = few_by_hash(docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") <= FIT_BYTES)).select("doc_id", "text"), FIT_DOCS)
-    sample = sorted(r["text"].encode() for r in chosen.collect())
+    sizes = cast.filter("doc_id IS NOT NULL AND n_bytes > 0").groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes"))
+    sample = sorted(r["text"].encode() for r in fitting_texts(docs, few_by_hash(sizes, FIT_DOCS), FIT_BYTES))
+    store.close()
     packer = zstandard.ZstdCompressor(level=1)
     target = posterior(np.array([pattern(votes(t, packer)) for t in sample], dtype=np.int64), share, chances) if sample else np.empty(0)
     weights, bias = fit(sample, target)

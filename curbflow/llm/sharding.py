@@ -21,6 +21,8 @@ from curbflow.llm.common import Store, table
 BITS = 60
 #: Bytes of text in a shard, at most.
 SHARD_BYTES = 1 << 20
+#: Rows of the largest hash for each salt of its overflow pages' numbering.
+SALT_ROWS = 50_000
 #: Bits of the first histogram beyond those that evenly spread bytes would need.
 EXTRA_BITS = 4
 
@@ -80,6 +82,7 @@ def shard(df: DataFrame, key: str, size, limit: int = SHARD_BYTES, keep: tuple[s
     by_hash = store.put(slim.groupBy("h").agg(F.count("*").alias("n_rows"), F.sum("n_bytes").alias("n_bytes")))
     total = by_hash.agg(F.sum("n_bytes").alias("n")).first()["n"] or 0
     leaves = store.put(directory(by_hash, limit, total))
+    store.drop(by_hash)
     # Row -> leaf: leaves down to the first histogram's level are listed as its cells, so that each row meets one cell.
     # Only rows below deeper leaves are looked up once for each deeper depth in use (at most 60 values).
     cut = first_level(total, limit)
@@ -99,8 +102,9 @@ def shard(df: DataFrame, key: str, size, limit: int = SHARD_BYTES, keep: tuple[s
     # Overflow chains. Rows of one hash and size are interchangeable: they are counted, laid out by prefix sums over
     # the sizes, and numbered within a size in salted groups, so that a hot key is never one window of all its rows.
     full = rows.filter(F.col("shard_bytes") > limit)
-    if not leaves.filter(F.col("shard_bytes") > limit).isEmpty():
-        salt = F.pmod(F.hash(*[F.col(c) for c in (key, *keep)], F.monotonically_increasing_id()), F.lit(64))
+    largest = leaves.filter(F.col("shard_bytes") > limit).agg(F.max("shard_rows").alias("n")).first()["n"]
+    if largest is not None:
+        salt = F.pmod(F.hash(*[F.col(c) for c in (key, *keep)], F.monotonically_increasing_id()), F.lit(max(64, largest // SALT_ROWS)))
         full = store.put(full.withColumn("salt", salt))
         counts = store.put(full.groupBy("h", "n_bytes", "salt").agg(F.count("*").alias("n")))
         room = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("n_bytes"), F.lit(1))))

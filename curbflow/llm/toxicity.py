@@ -14,10 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curbflow.llm.common import annotate, bounded_sample, prepare, remainder, table
+from curbflow.llm.common import annotate, columns, few_by_hash, fitting_texts, prepare, remainder, table, unused
 
-#: Bounds of the sample of labelled documents that the weights are fitted on.
-FIT_DOCS, FIT_BYTES = 6000, 20_000
+#: Bounds of the sample of labelled documents that the weights are fitted on: documents, and bytes of all their texts.
+FIT_DOCS, FIT_BYTES = 6000, 16 << 20
 #: A word counts as itself and as its first bytes of these lengths, which inflected forms share.
 STEMS = (3, 4, 5, 6, 7, 8)
 #: Documents of the sample that must hold a feature for it to get a weight, and features at most: those that tell the labels apart best.
@@ -134,8 +134,11 @@ def fit(texts: list[bytes], toxic: list[int]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on a bounded sample of docs that have a label (doc_id, toxic); a repeated label counts as its smallest."""
-    named = labels.filter(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
-    rows = bounded_sample(named, docs, FIT_DOCS, FIT_BYTES).collect()
+    named = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
+    # Only as many labelled ids as are wanted are looked up; of those, all sizes are known before any text is fetched.
+    wanted = F.broadcast(few_by_hash(named, FIT_DOCS))
+    sizes = docs.select("doc_id", F.octet_length("text").alias("n_bytes")).join(wanted, "doc_id").groupBy("doc_id").agg(F.max("n_bytes").alias("n_bytes"), F.min("toxic").alias("toxic"))
+    rows = fitting_texts(docs, sizes, FIT_BYTES)
     return fit([r["text"].encode() for r in rows], [r["toxic"] for r in rows])
 
 
@@ -177,7 +180,7 @@ def toxicity(docs: DataFrame, model: Model, passed: list[str] | None = None) ->
     """docs (all columns, or those passed) with toxic_score and offending array<struct<start, length, score>>.
 
     Null, empty and blank texts count as one sentence without words. Texts are read whole; repeated rows score alike;
-    an empty table gives no rows. Other columns pass through; they must not be called toxic_score or offending.
+    an empty table gives no rows. Other columns pass through, but for those called toxic_score or offending.
     """
     return annotate(docs, scorer(model), "toxic_score double, offending array<struct<start: long, length: long, score: double>>", passed)
 
@@ -194,6 +197,11 @@ def op8_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows whose text scores below the threshold, by a model of the labels outside the held-out fold."""
+    """Rows whose text scores below the threshold, by a model of the labels outside the held-out fold.
+
+    Columns of docs stay as they are, whatever their names. Null, empty and blank texts stay; without labels all rows do.
+    """
     prepare(docs.sparkSession)
-    return toxicity(docs, train(docs, labels.filter(remainder("doc_id", 5) != 0))).filter(F.col("toxic_score") < THRESHOLD).select(docs.columns)
+    judge, score = scorer(train(docs, labels.filter(remainder("doc_id", 5) != 0))), unused(docs, "toxic_score")
+    found = annotate(docs, lambda texts: judge(texts)[:1], f"{score} double")
+    return found.filter(F.col(score) < THRESHOLD).select(columns(docs.columns))
