@@ -116,10 +116,65 @@ def point_geojson(lon: Column, lat: Column) -> Column:
     return F.struct(F.lit("Point").alias("type"), F.array(lon, lat).alias("coordinates"))
 
 
-def ring_geojson(segs: Column) -> Column:
-    """Polygon of one ring as GeoJSON: the segments' starts, and the first again."""
-    starts = F.transform(segs, lambda s: F.array(s["x1"], s["y1"]))
-    return F.struct(F.lit("Polygon").alias("type"), F.array(F.concat(starts, F.slice(starts, 1, 1))).alias("coordinates"))
+def let(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _runs(items: Column, ends: Column) -> Column:
+    """items cut after each of these places (from 0, the last item's among them)."""
+    first = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.get(ends, k - 1) + 1)
+    return F.transform(ends, lambda end, k: F.slice(items, first(k) + 1, end - first(k) + 1))
+
+
+def rings(segs: Column) -> Column:
+    """The closed rings of a boundary, each an array of segments: a ring ends where the next segment begins elsewhere, or at its own start."""
+
+    def chains(own: Column) -> Column:
+        follows = lambda i: (F.get(own, i + 1)["x1"] == F.get(own, i)["x2"]) & (F.get(own, i + 1)["y1"] == F.get(own, i)["y2"])
+        return _runs(own, F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: ~F.coalesce(follows(i), F.lit(False))))
+
+    def closed(chain: Column) -> Column:
+        home = lambda i: (F.get(chain, i)["x2"] == F.get(chain, F.lit(0))["x1"]) & (F.get(chain, i)["y2"] == F.get(chain, F.lit(0))["y1"])
+        ends = F.filter(F.sequence(F.lit(0), F.size(chain) - 1), lambda i: home(i) | (i == F.size(chain) - 1))
+        return let(ends, lambda e: _runs(chain, e))
+
+    return F.when(F.size(segs) > 0, F.flatten(F.transform(let(segs, chains), closed))).otherwise(F.slice(F.array(segs), 1, 0))
+
+
+def polygons(segs: Column) -> Column:
+    """Polygons of a boundary as GeoJSON coordinates: an outer ring each, then its holes.
+
+    A ring lies in another if most of its segments' middles do; rings at even depth are outer ones.
+    """
+    points = lambda ring: let(F.transform(ring, lambda s: F.array(s["x1"], s["y1"])), lambda p: F.concat(p, F.slice(p, 1, 1)))
+
+    def lies_in(ring: Column, other: Column) -> Column:
+        hits = F.aggregate(ring, F.lit(0), lambda n, s: n + covers(other, (s["x1"] + s["x2"]) / 2, (s["y1"] + s["y2"]) / 2).cast("int"))
+        return 2 * hits > F.size(ring)
+
+    def nested(own: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.size(own) - 1)
+        holders = F.transform(numbers, lambda i: F.filter(numbers, lambda j: (i != j) & lies_in(F.get(own, i), F.get(own, j))))
+
+        def grouped(held: Column) -> Column:
+            holes = lambda i: F.filter(numbers, lambda j: (F.size(F.get(held, j)) == F.size(F.get(held, i)) + 1) & F.array_contains(F.get(held, j), i))
+            outer = F.filter(numbers, lambda i: F.size(F.get(held, i)) % 2 == 0)
+            return F.transform(outer, lambda i: F.concat(F.array(points(F.get(own, i))), F.transform(holes(i), lambda j: points(F.get(own, j)))))
+
+        return let(holders, grouped)
+
+    return let(rings(segs), lambda own: F.when(F.size(own) == 1, F.array(F.transform(own, points))).otherwise(nested(own)))
+
+
+def geometry_json(segs: Column) -> Column:
+    """A boundary as GeoJSON text: a Polygon, or a MultiPolygon if it has several outer rings; null without segments."""
+
+    def text(parts: Column) -> Column:
+        one = F.struct(F.lit("Polygon").alias("type"), F.get(parts, F.lit(0)).alias("coordinates"))
+        return F.when(F.size(parts) == 1, F.to_json(one)).otherwise(F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), parts.alias("coordinates"))))
+
+    return F.when(F.size(segs) > 0, let(polygons(segs), text)).otherwise(F.lit("null"))
 
 
 class Lambert:

@@ -50,8 +50,14 @@ def color(phase: Column) -> Column:
     return F.coalesce(F.try_element_at(table, phase), F.lit(OTHER_COLOR))
 
 
+def feature_json(geometry: Column, properties: Column) -> Column:
+    """A feature as text, of its geometry's text and a struct."""
+    return F.concat(F.lit('{"type":"Feature","geometry":'), geometry, F.lit(',"properties":'), F.to_json(properties), F.lit("}"))
+
+
 def collection_json(features: Column) -> Column:
-    return F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), features.alias("features")))
+    """A FeatureCollection as text, of an array of its features' texts."""
+    return F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(features, ","), F.lit("]}"))
 
 
 def trail_geojson(enriched: DataFrame, timeline: DataFrame, seconds: float = DOWNSAMPLE_SECONDS) -> DataFrame:
@@ -59,7 +65,7 @@ def trail_geojson(enriched: DataFrame, timeline: DataFrame, seconds: float = DOW
     dots = attach_phase(downsample(enriched, seconds), timeline)
     stamp = F.date_format("dt_local", "yyyy-MM-dd'T'HH:mm:ss")
     properties = F.struct("phase", "color", stamp.alias("dt_local"), "speed_mph", "route_id")
-    feature = F.struct(F.lit("Feature").alias("type"), geo.point_geojson(F.col("lon"), F.col("lat")).alias("geometry"), properties.alias("properties"))
+    feature = feature_json(F.to_json(geo.point_geojson(F.col("lon"), F.col("lat"))), properties)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("dt_local", "lat", "lon", feature.alias("feature")))), lambda x: x["feature"])
     return dots.groupBy("vehicle_id", F.to_date("dt_local").alias("day")).agg(F.count("*").alias("n_dots"), collection_json(ordered).alias("trail_json"))
 
@@ -95,7 +101,7 @@ def parcel_status(parcels: DataFrame, enriched: DataFrame, targets: DataFrame, p
 def parcels_geojson(status: DataFrame) -> DataFrame:
     """One FeatureCollection of parcels (segs) for each target."""
     properties = F.struct("APN", "route_ref", "route_org", "route_rec", "served", "status", "fill_color", "actual_vehicle", "weekly1_vehicle", "weekly2_vehicle", "biweekly_vehicle")
-    feature = F.struct(F.lit("Feature").alias("type"), geo.ring_geojson(F.col("segs")).alias("geometry"), properties.alias("properties"))
+    feature = feature_json(geo.geometry_json(F.col("segs")), properties)
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("APN", feature.alias("feature")))), lambda x: x["feature"])
     return status.groupBy("vehicle_id", "day", "route_id").agg(F.count("*").alias("n_parcels"), collection_json(ordered).alias("parcels_json"))
 

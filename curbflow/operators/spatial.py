@@ -14,8 +14,8 @@ from curbflow.config import FEET_PER_DEGREE, EngineConfig
 from curbflow.functions import geo
 from curbflow.schemas import ENRICHED, names
 
-#: Side of a grid cell in degrees.
-CELL = 0.005
+#: Side of a grid cell in degrees, and the cells that one box may meet: more means a corrupt polygon.
+CELL, MOST_CELLS = 0.005, 1_000_000
 
 
 def cell_of(value: Column, size: float) -> Column:
@@ -23,11 +23,15 @@ def cell_of(value: Column, size: float) -> Column:
 
 
 def on_grid(layer: DataFrame, box: tuple[Column, Column, Column, Column], size: float = CELL, reach: float | Column = 0.0) -> DataFrame:
-    """layer with a row for each cell (cell_x, cell_y) that the box, widened by reach, meets."""
+    """layer with a row for each cell (cell_x, cell_y) that the box, widened by reach, meets.
+
+    A box of more than MOST_CELLS cells is an error, rather than that many rows.
+    """
     min_x, min_y, max_x, max_y = box
-    across = F.sequence(cell_of(min_x - reach, size), cell_of(max_x + reach, size))
-    down = F.sequence(cell_of(min_y - reach, size), cell_of(max_y + reach, size))
-    return layer.withColumn("cell_x", F.explode(across)).withColumn("cell_y", F.explode(down))
+    left, right, low, high = (cell_of(c, size) for c in (min_x - reach, max_x + reach, min_y - reach, max_y + reach))
+    cells = (right - left + 1).cast("double") * (high - low + 1)
+    checked = F.when(cells > MOST_CELLS, F.raise_error(F.concat(F.lit("a polygon's box meets "), cells.cast("string"), F.lit(" grid cells"))).cast("bigint")).otherwise(left)
+    return layer.withColumn("cell_x", F.explode(F.sequence(checked, right))).withColumn("cell_y", F.explode(F.sequence(low, high)))
 
 
 def grid_join(points: DataFrame, layer: DataFrame, box: tuple, match, x: str = "lon", y: str = "lat", how: str = "left", size: float = CELL, reach: float | Column = 0.0) -> DataFrame:
@@ -76,9 +80,12 @@ def attach_parcels(pings: DataFrame, parcels: DataFrame, config: EngineConfig =
         return grid_join(pings, layer, box, near, reach=reach).drop(*spare)
     if match != "nearest":
         raise ValueError(f"match is all or nearest, not {match!r}")
-    joined = grid_join(pings, layer, box, near, reach=reach).withColumn("_apart", geo.distance(F.col("parcel_segs"), F.col("lon"), F.col("lat"))).drop(*spare)
-    first = Window.partitionBy(*pings.columns).orderBy(F.col("_apart").asc_nulls_last(), "apn")
-    return joined.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_apart")
+    # Equal pings are told apart by their number among their likes.
+    like = Window.partitionBy(*pings.columns).orderBy(F.lit(1))
+    own = pings.withColumn("_like", F.row_number().over(like))
+    joined = grid_join(own, layer, box, near, reach=reach).withColumn("_apart", geo.distance(F.col("parcel_segs"), F.col("lon"), F.col("lat"))).drop(*spare)
+    first = Window.partitionBy(*pings.columns, "_like").orderBy(F.col("_apart").asc_nulls_last(), "apn")
+    return joined.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "_like", "_apart")
 
 
 def flag_landfills(pings: DataFrame, landfills: DataFrame) -> DataFrame:

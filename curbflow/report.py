@@ -81,13 +81,13 @@ def render(route_id: str, vehicle_id: str, day: str, *, trail: str = EMPTY, parc
 
 def payloads(enriched: DataFrame, timeline: DataFrame, parcels: DataFrame, routes: DataFrame, targets: DataFrame, patterns: DataFrame | None = None, tickets: DataFrame | None = None) -> DataFrame:
     """All JSON of each target (vehicle_id, day, route_id), in one plan."""
-    from curbflow.functions.geo import ring_geojson
+    from curbflow.functions.geo import geometry_json
 
     days = targets.select("vehicle_id", "day").distinct()
     own = enriched.withColumn("_d", F.to_date("dt_local")).join(days.withColumnRenamed("day", "_d"), ["vehicle_id", "_d"], "left_semi").drop("_d").select(enriched.columns)
     trails = dayview.trail_geojson(own, timeline).select("vehicle_id", "day", "trail_json")
     status = dayview.parcels_geojson(dayview.parcel_status(parcels, own, targets, patterns)).select("vehicle_id", "day", "route_id", "parcels_json")
-    shape = F.struct(F.lit("Feature").alias("type"), ring_geojson(F.col("segs")).alias("geometry"), F.struct("route_id").alias("properties"))
+    shape = dayview.feature_json(geometry_json(F.col("segs")), F.struct("route_id"))
     shapes = routes.groupBy("route_id").agg(dayview.collection_json(F.collect_list(shape)).alias("route_json"))
     shift = dayview.shift_summary(timeline)
     label = shift.select("vehicle_id", "day", "day_time_label", F.to_json(F.struct(*[c for c in shift.columns if c != "day_time_label"])).alias("summary_json"))
