@@ -68,7 +68,11 @@ def trail_phase(spark, sf):
 
 
 def trail_geojson(spark, sf):
-    return dayview.trail_geojson(views.enriched(spark, sf), _timeline(spark, sf)).select("vehicle_id", "day", "n_dots", "trail_json")
+    """The dots of every trail, read back from its text."""
+    trails = dayview.trail_geojson(views.enriched(spark, sf), _timeline(spark, sf))
+    shape = "struct<features: array<struct<geometry: struct<coordinates: array<double>>, properties: struct<phase: string, color: string, dt_local: string, speed_mph: double, route_id: string>>>>"
+    dots = trails.select("vehicle_id", "day", "n_dots", F.posexplode(F.from_json("trail_json", shape)["features"]).alias("position", "dot"))
+    return dots.select("vehicle_id", "day", "n_dots", "position", F.col("dot.geometry.coordinates")[0].alias("lon"), F.col("dot.geometry.coordinates")[1].alias("lat"), "dot.properties.*")
 
 
 def _status(spark, sf):
@@ -77,8 +81,11 @@ def _status(spark, sf):
     routes = dayview.route_members(parcels).select(F.col("member_route").alias("route_id")).distinct()
     targets = seen.select("vehicle_id", F.to_date("dt_local").alias("day")).distinct().crossJoin(routes)
     marks = parcels.withColumns({"weekly1_vehicle": F.when(F.substring("APN", -1, 1) == "2", "V1"), "weekly2_vehicle": F.lit(None).cast("string"), "biweekly_vehicle": F.lit(None).cast("string")})
-    square = geo.box(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0))
-    return dayview.parcel_status(parcels.withColumn("segs", square), seen, targets, marks)
+    square = lambda a, b: geo.box(*[F.lit(float(x)) for x in (a, a, b, b)])
+    # a square, one with a hole, and two squares
+    number = F.substring("APN", 2, 20).cast("long") % 3
+    segs = F.when(number == 0, square(0, 9)).when(number == 1, F.concat(square(0, 9), square(3, 6))).otherwise(F.concat(square(0, 1), square(5, 6)))
+    return dayview.parcel_status(parcels.withColumn("segs", segs), seen, targets, marks)
 
 
 def parcel_status(spark, sf):
@@ -132,9 +139,17 @@ _TIMELINE = _PHASED + f""", mv AS (SELECT *, lag(lat) OVER w AS plat, lag(lon) O
  CASE WHEN segment_type = 'collection' THEN rt END AS route_id, start_dt_local, end_dt_local, date_diff('microsecond', start_dt_local, end_dt_local) / 1e6 AS duration_seconds, miles, n_pings FROM op)"""
 _DAYS = views.PINGS + """, vd AS (SELECT strftime(dt_local, '%Y-%m-%d') AS day, vehicle_id, count(*) AS rows, min(dt_local) AS min_local, max(dt_local) AS max_local, {r}min(lat){e} AS lat_min, {r}max(lat){e} AS lat_max,
  {r}min(lon){e} AS lon_min, {r}max(lon){e} AS lon_max, strftime(dt_local, '%Y-%m-%d') || '/' || vehicle_id AS file_path FROM pings {w} GROUP BY ALL)"""
-_INDEX = _DAYS.format(r="", e="", w="WHERE event_id % 3 = 0 AND lon < -117.2e0") + f", {views.ROUTES}, rb AS (SELECT route_id, min(cx - a) - 100e0 / 335000 AS x1, min(cy - b) - 100e0 / 335000 AS y1, max(cx + a) + 100e0 / 335000 AS x2, max(cy + b) + 100e0 / 335000 AS y2 FROM routes GROUP BY 1)" + """,
+_INDEX = _DAYS.format(r="", e="", w="") + f", {views.ROUTES}, rb AS (SELECT route_id, min(cx - a) - 100e0 / 335000 AS x1, min(cy - b) - 100e0 / 335000 AS y1, max(cx + a) + 100e0 / 335000 AS x2, max(cy + b) + 100e0 / 335000 AS y2 FROM routes GROUP BY 1)" + """,
  ix AS (SELECT * FROM vd JOIN rb ON NOT (lon_max < x1 OR lon_min > x2 OR lat_max < y1 OR lat_min > y2))"""
 _VISITS = "v AS (SELECT 'A' || user_id::VARCHAR AS apn, 'V' || (event_id % 12)::VARCHAR AS vehicle_id, ts AS dt_local FROM events)"
+_STATUS = _VISITS + """, tg AS (SELECT DISTINCT vehicle_id, dt_local::DATE AS day FROM v),
+ us AS (SELECT DISTINCT user_id FROM events), mb AS (SELECT user_id, 'C' || (user_id % 5)::VARCHAR AS route_id FROM us UNION SELECT user_id, 'O' || (user_id % 3)::VARCHAR FROM us),
+ sv AS (SELECT DISTINCT vehicle_id, dt_local::DATE AS day, apn FROM v),
+ jn AS (SELECT tg.vehicle_id, tg.day, mb.route_id, 'A' || mb.user_id::VARCHAR AS APN, mb.user_id % 3 AS shape, 'C' || (mb.user_id % 5)::VARCHAR AS route_ref, 'O' || (mb.user_id % 3)::VARCHAR AS route_org,
+ sv.apn IS NOT NULL AS served, CASE WHEN mb.user_id % 10 = 2 THEN 'V1' END AS weekly1_vehicle FROM tg CROSS JOIN mb LEFT JOIN sv ON sv.vehicle_id = tg.vehicle_id AND sv.day = tg.day AND sv.apn = 'A' || mb.user_id::VARCHAR),
+ st AS (SELECT *, CASE WHEN served THEN 'served' WHEN weekly1_vehicle IS NOT NULL THEN 'missed' ELSE 'unknown' END AS status,
+ CASE WHEN served THEN '#2ecc71' WHEN weekly1_vehicle IS NOT NULL THEN '#e74c3c' ELSE '#bdc3c7' END AS fill_color, CASE WHEN served THEN vehicle_id END AS actual_vehicle FROM jn)"""
+_RING = "'[[{a}.0,{a}.0],[{b}.0,{a}.0],[{b}.0,{b}.0],[{a}.0,{b}.0],[{a}.0,{a}.0]]'"
 _COLOR = "CASE phase WHEN 'windshield' THEN '#2980b9' WHEN 'collection' THEN '#27ae60' WHEN 'dump' THEN '#c0392b' ELSE '#7f8c8d' END"
 
 QUERIES = {
@@ -161,15 +176,27 @@ ORACLES = {
     "trail_downsample": f"WITH {views.PINGS} SELECT event_id FROM pings QUALIFY row_number() OVER (PARTITION BY vehicle_id, dt_local::DATE, floor(epoch_us(dt_local) / 3600e6) ORDER BY dt_local, event_id) = 1",
     "trail_phase": f"""WITH {_TIMELINE}, hit AS (SELECT e.event_id, arg_max(t.segment_type, t.segment_id) AS st FROM enriched e LEFT JOIN tl t ON t.vehicle_id = e.vehicle_id AND t.day = e.dt_local::DATE AND e.dt_local BETWEEN t.start_dt_local AND t.end_dt_local GROUP BY 1)
  SELECT event_id, phase, {_COLOR} AS color FROM (SELECT event_id, coalesce(st, 'windshield') AS phase FROM hit)""",
-    "parcel_status": f"""WITH {_VISITS}, tg AS (SELECT DISTINCT vehicle_id, dt_local::DATE AS day FROM v WHERE dt_local < TIMESTAMP '2024-01-04'), pa AS (SELECT DISTINCT 'A' || user_id::VARCHAR AS APN FROM events WHERE user_id % 5 = 2),
- sv AS (SELECT DISTINCT vehicle_id, dt_local::DATE AS day, apn FROM v), st AS (SELECT tg.vehicle_id, tg.day, pa.APN, sv.apn IS NOT NULL AS served FROM tg CROSS JOIN pa LEFT JOIN sv ON sv.vehicle_id = tg.vehicle_id AND sv.day = tg.day AND sv.apn = pa.APN)
- SELECT vehicle_id, day, 'C2' AS route_id, APN, served, CASE WHEN served THEN 'served' WHEN right(APN, 1) = '2' THEN 'missed' ELSE 'unknown' END AS status,
- CASE WHEN served THEN '#2ecc71' WHEN right(APN, 1) = '2' THEN '#e74c3c' ELSE '#bdc3c7' END AS fill_color, CASE WHEN served THEN vehicle_id END AS actual_vehicle FROM st""",
+    "parcel_status": f"""WITH {_STATUS} SELECT vehicle_id, day, route_id, APN, served, status, fill_color, actual_vehicle FROM st""",
+    "parcels_geojson": f"""WITH {_STATUS}, fe AS (SELECT *, '{{"type":"Feature","geometry":{{"type":"' || CASE shape WHEN 2 THEN 'MultiPolygon' ELSE 'Polygon' END || '","coordinates":[' ||
+ CASE shape WHEN 0 THEN {_RING.format(a='0', b='9')} WHEN 1 THEN {_RING.format(a='0', b='9')} || ',' || {_RING.format(a='3', b='6')} ELSE '[' || {_RING.format(a='0', b='1')} || '],[' || {_RING.format(a='5', b='6')} || ']' END ||
+ ']}},"properties":{{"APN":"' || APN || '","route_ref":"' || route_ref || '","route_org":"' || route_org || '","served":' || served::VARCHAR || ',"status":"' || status || '","fill_color":"' || fill_color || '"' ||
+ coalesce(',"actual_vehicle":"' || actual_vehicle || '"', '') || coalesce(',"weekly1_vehicle":"' || weekly1_vehicle || '"', '') || '}}}}' AS f FROM st)
+ SELECT vehicle_id, day, route_id, count(*) AS n_parcels, '{{"type":"FeatureCollection","features":[' || string_agg(f, ',' ORDER BY APN) || ']}}' AS parcels_json FROM fe GROUP BY 1, 2, 3""",
+    "trail_geojson": f"""WITH {_TIMELINE}, one AS (SELECT * FROM enriched QUALIFY row_number() OVER (PARTITION BY vehicle_id, dt_local::DATE, floor(epoch_us(dt_local) / 30e6) ORDER BY dt_local, event_id) = 1),
+ hit AS (SELECT e.event_id, arg_max(t.segment_type, t.segment_id) AS st FROM one e LEFT JOIN tl t ON t.vehicle_id = e.vehicle_id AND t.day = e.dt_local::DATE AND e.dt_local BETWEEN t.start_dt_local AND t.end_dt_local GROUP BY 1),
+ dots AS (SELECT one.*, coalesce(st, 'windshield') AS phase FROM one JOIN hit USING (event_id))
+ SELECT vehicle_id, dt_local::DATE AS day, count(*) OVER (PARTITION BY vehicle_id, dt_local::DATE) AS n_dots, (row_number() OVER (PARTITION BY vehicle_id, dt_local::DATE ORDER BY dt_local, lat, lon, speed_mph) - 1)::INTEGER AS position,
+ lon, lat, phase, {_COLOR} AS color, strftime(dt_local, '%Y-%m-%dT%H:%M:%S') AS dt_local, speed_mph, route_id FROM dots""",
     "shift_summary": f"""WITH {_TIMELINE}, s AS (SELECT vehicle_id, day, strftime(min(start_dt_local), '%H:%M') AS a, strftime(max(end_dt_local), '%H:%M') AS b, coalesce(max(load_number), 0) AS n_loads, count(*) AS n_segments,
  round(round(coalesce(sum(CASE WHEN segment_type NOT LIKE 'depot%' THEN miles END), 0e0), 2), 1) AS total_miles FROM tl GROUP BY 1, 2) SELECT vehicle_id, day, a AS shift_start, b AS shift_end, a || ' → ' || b AS day_time_label, n_loads, n_segments, total_miles FROM s""",
-    "load_breakdown": f"""WITH {_TIMELINE} SELECT vehicle_id, day, load_number, strftime(min(start_dt_local), '%H:%M') AS start, strftime(max(end_dt_local), '%H:%M') AS "end", round(round(sum(miles), 2), 1) AS miles,
- date_diff('microsecond', min(start_dt_local), max(end_dt_local)) / 1e6 AS duration_seconds, CASE WHEN bool_or(segment_type = 'dump') THEN 'Landfill' END AS landfill FROM tl WHERE load_number IS NOT NULL GROUP BY 1, 2, 3""",
-    "load_tonnage": f"""WITH {_TIMELINE}, tk AS (SELECT vehicle_id, dt_local, (event_id % 100) / 8e0 AS tons FROM pings WHERE event_id % 2 = 0)
+    "load_breakdown": f"""WITH {_TIMELINE}, tk AS (SELECT vehicle_id, dt_local, (event_id % 100) / 8e0 AS tons FROM pings),
+ ld AS (SELECT vehicle_id, day, load_number, strftime(min(start_dt_local), '%H:%M') AS start, strftime(max(end_dt_local), '%H:%M') AS "end", round(round(sum(miles), 2), 1) AS miles,
+ date_diff('microsecond', min(start_dt_local), max(end_dt_local)) / 1e6 AS duration_seconds, min(CASE WHEN segment_type = 'dump' THEN segment_id END) AS dump FROM tl WHERE load_number IS NOT NULL GROUP BY 1, 2, 3),
+ tn AS (SELECT ld.vehicle_id, ld.day, ld.load_number, sum(tk.tons) AS tons FROM ld JOIN tl ON tl.vehicle_id = ld.vehicle_id AND tl.day = ld.day AND tl.segment_id = ld.dump
+ JOIN tk ON tk.vehicle_id = ld.vehicle_id AND tk.dt_local BETWEEN tl.start_dt_local - INTERVAL 45 MINUTE AND tl.end_dt_local + INTERVAL 45 MINUTE GROUP BY 1, 2, 3)
+ SELECT ld.vehicle_id, ld.day, ld.load_number, start, "end", miles, duration_seconds, CASE WHEN dump IS NOT NULL THEN 'Landfill' END AS landfill, round(tons, 2) AS tons
+ FROM ld LEFT JOIN tn ON tn.vehicle_id = ld.vehicle_id AND tn.day = ld.day AND tn.load_number = ld.load_number""",
+    "load_tonnage": f"""WITH {_TIMELINE}, tk AS (SELECT vehicle_id, dt_local, (event_id % 100) / 8e0 AS tons FROM pings)
  SELECT tl.vehicle_id, day, segment_id, round(sum(tk.tons), 3) AS tons FROM tl LEFT JOIN tk ON tk.vehicle_id = tl.vehicle_id AND tk.dt_local BETWEEN start_dt_local - INTERVAL 45 MINUTE AND end_dt_local + INTERVAL 45 MINUTE WHERE segment_type = 'dump' GROUP BY 1, 2, 3""",
     "stop_bins": f"WITH {views.PINGS} SELECT event_id, (epoch_us(dt_local) / 1e6 / 900)::BIGINT AS bin_id, strftime(dt_local, '%a') AS dow, date_trunc('week', dt_local)::DATE AS week_start, hour(dt_local)::INTEGER AS hour_24 FROM pings",
     "kmh_to_mph": "SELECT event_id, round_even(value * 0.621371e0, 0) AS mph FROM events",
