@@ -107,6 +107,18 @@ def centroid(segs: Column) -> tuple[Column, Column]:
     return ox + F.try_divide(total["x"], 3 * total["a"]), oy + F.try_divide(total["y"], 3 * total["a"])
 
 
+def crosses_itself(segs: Column) -> Column:
+    """Whether two segments cross at an inner point of both."""
+
+    def side(s: Column, x: Column, y: Column) -> Column:
+        return F.signum((s["x2"] - s["x1"]) * (y - s["y1"]) - (s["y2"] - s["y1"]) * (x - s["x1"]))
+
+    def cross(a: Column, b: Column) -> Column:
+        return (side(a, b["x1"], b["y1"]) * side(a, b["x2"], b["y2"]) < 0) & (side(b, a["x1"], a["y1"]) * side(b, a["x2"], a["y2"]) < 0)
+
+    return F.exists(segs, lambda a: F.exists(segs, lambda b: cross(a, b)))
+
+
 def boxes_meet(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     """Whether two boxes (min_x, min_y, max_x, max_y) share a point; touching counts."""
     return ~((a[2] < b[0]) | (a[0] > b[2]) | (a[3] < b[1]) | (a[1] > b[3]))

@@ -51,19 +51,31 @@ def bbox_of(layer: DataFrame, pad: float = 0.0) -> tuple[float, float, float, fl
     return row[0] - pad, row[1] - pad, row[2] + pad, row[3] + pad
 
 
+def reproject(layer: DataFrame, source: str | None, target: str) -> DataFrame:
+    """layer with segs in another reference system; ValueError if either is not known."""
+    geo.project(F.lit(0.0), F.lit(0.0), source, target)
+    if source == target:
+        return layer
+
+    def turned(s: Column) -> Column:
+        a, b = geo.project(s["x1"], s["y1"], source, target), geo.project(s["x2"], s["y2"], source, target)
+        return F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
+
+    return layer.withColumn("segs", F.transform("segs", turned))
+
+
+def flag_crossing(layer: DataFrame) -> DataFrame:
+    """layer with crosses_itself: whether two sides of the polygon cross.
+
+    Such a polygon needs no repair here: the even-odd rule takes it for the area that its repair would have.
+    """
+    return layer.withColumn("crosses_itself", geo.crosses_itself(F.col("segs")))
+
+
 def build_parcels(parcels: DataFrame, crs: str | None = "EPSG:4326") -> DataFrame:
     """Parcels (APN, route columns, segs in crs) with bounds in degrees."""
     need(parcels, ["APN", "route_ref", "route_org", "route_rec"])
-    geo.project(F.lit(0.0), F.lit(0.0), crs, "EPSG:4326")
-    if crs == "EPSG:4326":
-        own = parcels
-    else:
-
-        def turned(s: Column) -> Column:
-            a, b = geo.project(s["x1"], s["y1"], crs, "EPSG:4326"), geo.project(s["x2"], s["y2"], crs, "EPSG:4326")
-            return F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
-
-        own = parcels.withColumn("segs", F.transform("segs", turned))
+    own = reproject(parcels, crs, "EPSG:4326")
     edges = geo.bounds(F.col("segs"))
     return own.withColumns({"min_lon": edges["min_x"], "min_lat": edges["min_y"], "max_lon": edges["max_x"], "max_lat": edges["max_y"]})
 

@@ -15,14 +15,25 @@ from curbflow.functions.times import as_date, stop_bin, total_weeks, week_start,
 from curbflow.schemas import PATTERNS
 
 PAIR = ["APN", "vehicle"]
+#: A Monday from which weeks are counted.
+MONDAY = date(1970, 1, 5)
 
 
-def visits(enriched: DataFrame, parcels: DataFrame, start: date, end: date) -> DataFrame:
-    """Pings (apn, vehicle_id, dt_local) at a parcel of the table within the window, with the parcel's chunk."""
+def in_window(enriched: DataFrame, start: date, end: date) -> DataFrame:
+    """Pings at any parcel on the days from start to end."""
     first, last = as_date(start), as_date(end)
     day = F.to_date("dt_local")
-    inside = enriched.filter(F.col("apn").isNotNull() & (F.col("dt_local") >= F.lit(first).cast("timestamp_ntz")) & day.between(F.lit(first), F.lit(last)))
-    chunks = parcels.groupBy("APN").agg(F.min("route_ref").alias("chunk")).withColumnRenamed("APN", "parcel_apn")
+    return enriched.filter(F.col("apn").isNotNull() & (F.col("dt_local") >= F.lit(first).cast("timestamp_ntz")) & day.between(F.lit(first), F.lit(last)))
+
+
+def chunks_of(parcels: DataFrame) -> DataFrame:
+    """(parcel_apn, chunk)."""
+    return parcels.groupBy("APN").agg(F.min("route_ref").alias("chunk")).withColumnRenamed("APN", "parcel_apn")
+
+
+def visits(enriched: DataFrame, parcels: DataFrame, start: date, end: date) -> DataFrame:
+    """Pings (apn, vehicle_id, dt_local) at a parcel of the table within the window, with the parcel's chunk."""
+    inside, chunks = in_window(enriched, start, end), chunks_of(parcels)
     joined = inside.join(chunks, inside["apn"] == chunks["parcel_apn"])
     return joined.select(F.col("parcel_apn").alias("APN"), F.col("vehicle_id").alias("vehicle"), "dt_local", "chunk")
 
@@ -109,6 +120,7 @@ class Chain:
         self.start, self.end, self.parcels, self.config = as_date(start), as_date(end), parcels, config
         self.weeks = total_weeks(start, end)
         weekly_weeks, biweekly_weeks = config.weeks(self.weeks)
+        self.inside = in_window(enriched, self.start, self.end)
         self.visits = visits(enriched, parcels, self.start, self.end)
         self.stops = stops(self.visits, config)
         self.daily = daily_visits(self.stops)
@@ -122,16 +134,63 @@ class Chain:
         self.pool = weekly_pool(self.best, self.biweekly, weekly_weeks, config)
         self.ranked = weekly_ranked(self.pool)
 
+    def pairs(self) -> DataFrame:
+        """Every (APN, vehicle) with its best weekday and the figures of weekly and biweekly patterns.
+
+        The steps above in one pass. Stops are dealt by pair once, and all that follows stays in place: on one weekday
+        each day is a week of its own, so the sorted days of the best weekday hold gaps, weeks and parity. Parity is
+        counted from a fixed Monday; only the labels even and odd depend on the chunk's first week.
+        """
+        config = self.config
+        own = self.stops.drop("chunk").repartition(*PAIR)
+        daily = own.groupBy(*PAIR, "dow", "day").agg(F.round(F.avg("hour_24")).cast("int").alias("hour"))
+        by_dow = daily.groupBy(*PAIR, "dow").agg(F.count("*").alias("n"), F.round(F.avg("hour")).cast("int").alias("hour"), F.sort_array(F.collect_list("day")).alias("days"))
+        best = by_dow.groupBy(*PAIR).agg(F.min(F.struct((-F.col("n")).alias("minus_n"), "dow", "hour", "days")).alias("b"))
+        days, n = F.col("days"), F.col("visit_days")
+        gaps = F.sort_array(F.zip_with(F.slice(days, 2, F.greatest(F.size(days) - 1, F.lit(0))), F.slice(days, 1, F.greatest(F.size(days) - 1, F.lit(0))), lambda later, day: F.datediff(later, day)))
+        gap, last = F.col("gaps"), F.size("gaps") - 1
+        odd = F.size(F.filter(days, lambda d: F.pmod(F.floor(F.datediff(d, F.lit(MONDAY)) / 7), F.lit(2)) == 1)).cast("bigint")
+        near = F.size(F.filter(gap, lambda g: F.abs(g - config.biweekly_gap_days) <= config.biweekly_gap_tolerance)) / F.size(gap)
+        rows = best.select(*PAIR, "b.dow", F.col("b.hour").alias("typical_hour"), "b.days", (-F.col("b.minus_n")).alias("visit_days"))
+        rows = rows.withColumns({"gaps": gaps, "regularity": F.round(n / F.lit(float(self.weeks)), 4), "odd": odd})
+        rows = rows.withColumns({
+            "med_gap": F.when(last >= 0, (F.get(gap, F.floor(last / 2).cast("int")) + F.get(gap, F.ceil(last / 2).cast("int"))) / F.lit(2.0)), "pct14": F.when(last >= 0, near).otherwise(F.lit(0.0)),
+            "even": n - F.col("odd"), "phase_share": F.round(F.greatest("odd", n - F.col("odd")) / n.cast("double"), 4),
+        })
+        centre = F.greatest(F.lit(0.0), 1.0 - F.abs(F.col("regularity") - 0.5) / 0.5)
+        score = F.round(F.col("phase_share") * config.weight_phase + F.col("pct14") * config.weight_gap + centre * config.weight_centre, 4)
+        return rows.drop("days", "gaps").withColumn("score", score)
+
+    def first_weeks(self) -> DataFrame:
+        """(parcel_apn, week0): the first week with a visit to the chunk of each parcel."""
+        chunks = chunks_of(self.parcels)
+        seen = self.inside.groupBy("apn").agg(F.min(week_start(F.col("dt_local"))).alias("week")).withColumnRenamed("apn", "seen_apn")
+        of_chunk = seen.join(chunks, seen["seen_apn"] == chunks["parcel_apn"]).groupBy("chunk").agg(F.min("week").alias("week0")).withColumnRenamed("chunk", "of_chunk")
+        return chunks.join(of_chunk, chunks["chunk"].eqNullSafe(of_chunk["of_chunk"])).select("parcel_apn", "week0")
+
     def wide(self) -> DataFrame:
         """One row for each parcel, null where there is no pattern."""
-
-        def slot(n: int) -> DataFrame:
-            source = {"vehicle": "vehicle", "dow": "dow", "hour": "typical_hour", "regularity": "regularity", "visits": "visit_days", "weeks_present": "weeks_present"}
-            return self.ranked.filter(F.col("rank") == n).select("APN", *[F.col(v).alias(f"weekly{n}_{k}") for k, v in source.items()])
-
-        source = {"vehicle": "vehicle", "dow": "dow", "hour": "typical_hour", "score": "biweekly_score"} | {c: c for c in ("weeks_present", "regularity", "visit_days", "med_gap", "pct14", "phase_share", "even_hits", "odd_hits")}
-        other = self.biweekly.select("APN", *[F.col(v).alias(f"biweekly_{k}") for k, v in source.items()])
-        out = self.parcels.select("APN", "route_ref", "route_org", "route_rec").join(slot(1), "APN", "left").join(slot(2), "APN", "left").join(other, "APN", "left")
+        config, n = self.config, F.col("visit_days")
+        weekly_weeks, biweekly_weeks = config.weeks(self.weeks)
+        desc = lambda *names: [(-F.col(c)).alias(f"minus_{c}") for c in names]
+        weekly = F.when((F.col("regularity") >= config.weekly_min_regularity) & (n >= weekly_weeks), F.struct(*desc("regularity", "visit_days"), "vehicle", "dow", "typical_hour", "regularity", "visit_days"))
+        other = (n >= biweekly_weeks) & (n >= config.biweekly_min_visits) & (F.col("phase_share") >= config.biweekly_min_phase_share) & (F.col("regularity") <= config.biweekly_max_regularity) & (F.col("score") >= config.biweekly_min_score)
+        kept = ["dow", "typical_hour", "score", "visit_days", "regularity", "med_gap", "pct14", "phase_share", "even", "odd"]
+        biweekly = F.when(other, F.struct(*desc("score", "phase_share", "pct14", "visit_days"), "vehicle", *kept))
+        # A parcel's vehicles are few; the winner of the biweekly pattern takes no weekly slot.
+        own = self.pairs().groupBy("APN").agg(F.min(biweekly).alias("bw"), F.sort_array(F.collect_list(weekly)).alias("pool"))
+        slots = F.filter("pool", lambda w: ~w["vehicle"].eqNullSafe(F.col("bw.vehicle")))
+        own = own.select(F.col("APN").alias("pattern_apn"), "bw", *[F.get(slots, F.lit(k)).alias(f"w{k + 1}") for k in (0, 1)])
+        firsts = self.first_weeks()
+        own = own.join(firsts, own["pattern_apn"] == firsts["parcel_apn"], "left")
+        swapped = F.pmod(F.floor(F.datediff("week0", F.lit(MONDAY)) / 7), F.lit(2)) == 1
+        weekly_of = {"vehicle": "vehicle", "dow": "dow", "hour": "typical_hour", "regularity": "regularity", "visits": "visit_days", "weeks_present": "visit_days"}
+        biweekly_of = {"vehicle": "vehicle", "dow": "dow", "hour": "typical_hour", "score": "score", "weeks_present": "visit_days"} | {c: c for c in ("regularity", "visit_days", "med_gap", "pct14", "phase_share")}
+        columns = {f"weekly{k}_{a}": F.col(f"w{k}.{b}") for k in (1, 2) for a, b in weekly_of.items()} | {f"biweekly_{a}": F.col(f"bw.{b}") for a, b in biweekly_of.items()}
+        columns |= {"biweekly_even_hits": F.when(swapped, F.col("bw.odd")).otherwise(F.col("bw.even")), "biweekly_odd_hits": F.when(swapped, F.col("bw.even")).otherwise(F.col("bw.odd"))}
+        rows = own.select("pattern_apn", *[c.alias(k) for k, c in columns.items()])
+        parcels = self.parcels.select("APN", "route_ref", "route_org", "route_rec")
+        out = parcels.join(rows, parcels["APN"] == rows["pattern_apn"], "left")
         window = {"analysis_min_day": F.lit(self.start), "analysis_max_day": F.lit(self.end), "analysis_total_weeks": F.lit(self.weeks)}
         return out.withColumns(window).select(*PATTERNS)
 

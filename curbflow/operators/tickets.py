@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,25 +75,35 @@ def add_keys_field(df: DataFrame) -> DataFrame:
 
 
 def dedupe(df: DataFrame) -> DataFrame:
-    """One row for each record_key: that of the first file by date (undated last) and name."""
-    order = [F.col("file_date").asc_nulls_last(), "file_name"] if "file_date" in df.columns else [F.lit(1)]
+    """One row for each record_key: that of the first file by date (undated last) and name.
+
+    The row is the smallest by these and then by its other columns, kept by a partial aggregate, not by sorting all rows.
+    """
+    dated = [F.col("file_date").isNull().alias("_undated"), F.col("file_date").alias("_dated"), F.col("file_name").alias("_named")] if "file_date" in df.columns else []
     rest = [F.col(c) for c in df.columns if c not in ("record_key", "file_date", "file_name")]
-    first = Window.partitionBy("record_key").orderBy(*order, *rest)
-    return df.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    first = F.min_by(F.struct(*df.columns), F.struct(*dated, *rest))
+    return df.groupBy("record_key").agg(first.alias("_row")).select("_row.*")
 
 
 def new_rows(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Rows of a batch, once each and with a year, whose key the store doesn't have."""
+    """Rows of a batch, once each and with a year, whose key the store doesn't have in that year.
+
+    A key is made from the time that also gives the year, so a stored row of another year has another key.
+    """
     for name in ("record_key", "year"):
         if name not in batch.columns:
             raise ValueError(f"the batch has no {name}")
     own = dedupe(batch.filter(F.col("year").isNotNull()))
-    return own if stored is None else own.join(stored.select("record_key").distinct(), "record_key", "left_anti").select(batch.columns)
+    return own if stored is None else own.join(stored.select("record_key", "year").distinct(), ["record_key", "year"], "left_anti").select(batch.columns)
 
 
 def upsert_summary(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
     """Rows of each year that the batch touches: existing, added and total; and, under a null year, those dropped."""
-    added = new_rows(batch, stored).groupBy("year").agg(F.count("*").alias("added"))
+    return _summary(batch, stored, new_rows(batch, stored))
+
+
+def _summary(batch: DataFrame, stored: DataFrame | None, new: DataFrame) -> DataFrame:
+    added = new.groupBy("year").agg(F.count("*").alias("added"))
     years = batch.filter(F.col("year").isNotNull()).select("year").distinct()
     had = years.limit(0).withColumn("existing", F.lit(0).cast("bigint")) if stored is None else stored.groupBy("year").agg(F.count("*").alias("existing"))
     out = years.join(had, "year", "left").join(added, "year", "left").fillna(0, ["existing", "added"]).withColumn("total", F.col("existing") + F.col("added"))
@@ -102,15 +114,22 @@ def upsert_summary(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
 def upsert(batch: DataFrame, path: str, source: str) -> DataFrame:
     """Adds a batch's new rows to the store (partitions of source and year) and returns the summary, of before the write.
 
-    Only new rows are appended, so a second run of a batch adds none.
+    Only new rows are appended, so a second run of a batch adds none. Of the store, only the partitions of the batch's
+    years are read, and only their keys. The new rows are worked out once and written beside the store first.
     """
     spark = batch.sparkSession
+    years = [r["year"] for r in batch.filter(F.col("year").isNotNull()).select("year").distinct().orderBy("year").collect()]
     stored = None
     if exists(spark, path):
-        stored = spark.read.parquet(path).filter(F.col("source") == source)
-    summary = spark.createDataFrame(upsert_summary(batch, stored).collect(), "year int, existing long, added long, total long, dropped long")  # a row for each year
-    new_rows(batch, stored).withColumn("source", F.lit(source)).write.mode("append").partitionBy("source", "year").parquet(path)
-    return summary
+        stored = spark.read.parquet(path).filter((F.col("source") == source) & F.col("year").isin(years))
+    beside = f"{path}/_new-{uuid4().hex}"
+    new_rows(batch, stored).withColumn("source", F.lit(source)).write.parquet(beside)
+    new = spark.read.schema(batch.withColumn("source", F.lit(source)).schema).parquet(beside)
+    rows = _summary(batch, stored, new).collect()  # a row for each year
+    new.write.mode("append").partitionBy("source", "year").parquet(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return spark.createDataFrame(rows, "year int, existing long, added long, total long, dropped long")
 
 
 def exists(spark, path: str) -> bool:

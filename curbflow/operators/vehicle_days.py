@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curbflow.functions.geo import boxes_meet
+from curbflow.operators.tickets import exists
 from curbflow.schemas import VEHICLE_DAYS, names
 
 
@@ -25,6 +26,21 @@ def summarise_new(pings: DataFrame, known_days: DataFrame, overwrite: bool = Fal
     return summarise(rows, file_path)
 
 
+def load_day_indexes(spark: SparkSession, path: str) -> DataFrame:
+    """Stored summaries of all days; FileNotFoundError if there are none."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"no vehicle-day indexes under {path}")
+    rows = spark.read.schema(VEHICLE_DAYS).parquet(path).select(*names(VEHICLE_DAYS))
+    if rows.isEmpty():
+        raise FileNotFoundError(f"no vehicle-day indexes under {path}")
+    return rows
+
+
+def store_day_indexes(days: DataFrame, path: str) -> None:
+    """Writes summaries by day; days that are stored already are replaced."""
+    days.repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
 def master_index(days: DataFrame, boxes: DataFrame, cell: float = 0.05) -> DataFrame:
     """Vehicle-days with every route whose box they meet (touching counts).
 

@@ -37,6 +37,10 @@ def enrich_stream(pings: DataFrame, routes: DataFrame, parcels: DataFrame, landf
     def store(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = spatial.enrich(batch, routes, parcels, landfills, depot, config).withColumn("day", F.date_format("dt_local", "yyyy-MM-dd"))
+        # Joined once: the batch is written beside the store, and both uses below read it from there.
+        joined = f"{out_path}_joined"
+        new.write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(joined)
+        new = spark.read.schema(new.schema).parquet(joined)
         if exists(spark, out_path):
             touched = new.select("day", "vehicle_id").distinct()
             had = spark.read.schema(new.schema).parquet(out_path).join(touched, ["day", "vehicle_id"], "left_semi").select(new.columns)
