@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from curbflow.plans import days, fields, signatures, space
+    from curbflow.plans import days, fields, signatures, space, stores
 
-    return [space, days, signatures, fields]
+    return [space, days, signatures, fields, stores]
 
 
 def queries():

@@ -66,6 +66,16 @@ def segments_of(data: bytes | None) -> list[dict] | None:
     return out
 
 
+def encode(column: Column | str) -> Column:
+    """Well-known binary of a column of segments that are one ring; null stays null."""
+
+    @F.pandas_udf("binary")
+    def run(segs: pd.Series) -> pd.Series:
+        return segs.map(lambda own: None if own is None else encode_polygon([(s["x1"], s["y1"]) for s in own]))
+
+    return run(column)
+
+
 def decode(column: Column | str) -> Column:
     """Segments of a binary column; null stays null."""
 
