@@ -1,4 +1,4 @@
-"""Tunable parameters of the engine, with production defaults."""
+"""Tunable parameters of the engine. The defaults are fixed values: results depend on them."""
 
 from __future__ import annotations
 
