@@ -28,7 +28,7 @@ PIVOTS, PREFIX, OPEN = 256, 96, 0.75
 #: What is reranked of a block: a share of its opened members, and so many for each neighbour that is wanted.
 RERANK, MARGIN = 0.15, 4
 #: Distinct vectors of a block, about.
-BLOCK = 2048
+BLOCK = 8192
 QUERY_EVERY = 20
 
 

@@ -49,7 +49,7 @@ def test_recall_of_sf01(spark):
 def test_recall_of_several_blocks(spark):
     draw = np.random.default_rng(2)
     vectors = draw.standard_normal((20_000, 64)) * draw.uniform(0.8, 1.2, (20_000, 1))
-    assert len(vectors) > 4 * neighbours.BLOCK and recall(spark, list(enumerate(vectors.tolist()))) >= 0.9
+    assert len(vectors) > 2 * neighbours.BLOCK and recall(spark, list(enumerate(vectors.tolist()))) >= 0.9
 
 
 def test_lengths_are_searched_apart(spark):
