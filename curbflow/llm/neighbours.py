@@ -29,6 +29,8 @@ PIVOTS, PREFIX, OPEN = 256, 96, 0.75
 RERANK, MARGIN = 0.15, 4
 #: Distinct vectors of a block, about.
 BLOCK = 8192
+#: Members whose footrule distances are summed at a time.
+CHUNK = 2048
 QUERY_EVERY = 20
 
 
@@ -58,7 +60,7 @@ class Pivots:
 
     def places(self, order: np.ndarray) -> np.ndarray:
         """For each vector the place of every pivot in its order; pivots are rows."""
-        at = np.empty(order.shape, dtype=np.min_scalar_type(order.shape[1] - 1))
+        at = np.empty(order.shape, dtype=np.int16)
         np.put_along_axis(at, order, np.arange(order.shape[1], dtype=at.dtype)[None, :], axis=1)
         return np.ascontiguousarray(at.T)
 
@@ -89,14 +91,26 @@ def plan_blocks(sizes: dict[int, int], block: int, start: int = 0) -> dict[int,
     return plan
 
 
-def footrule(places: np.ndarray, near: np.ndarray) -> np.ndarray:
-    """Each member's footrule distance over these pivots, whose places for the query are 0, 1, 2 ..."""
-    own = np.arange(len(near), dtype=places.dtype)[:, None]
-    theirs = places[near]
-    apart = np.maximum(theirs, own)
-    apart -= np.minimum(theirs, own, out=theirs)
-    kind = np.min_scalar_type(len(near) * len(places))  # wide enough for the sums
-    return apart.astype(kind).sum(axis=0, dtype=kind)
+def chunked(places: np.ndarray) -> list[np.ndarray]:
+    return [np.ascontiguousarray(places[:, at : at + CHUNK]) for at in range(0, places.shape[1], CHUNK)]
+
+
+def footrule(places: list[np.ndarray], near: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Each member's footrule distance over these pivots, whose places for the query are 0, 1, 2 ...
+
+    Members come in chunks, in room that is used again: that stays in the processor's cache.
+    """
+    own, at = np.arange(len(near), dtype=np.int16)[:, None], 0
+    apart = np.empty(sum(p.shape[1] for p in places), dtype=np.int16 if len(near) * len(places[0]) < 1 << 15 else np.int32)
+    for part in places:
+        n = part.shape[1]
+        theirs = room[: len(near) * n].reshape(len(near), n)
+        np.take(part, near, axis=0, out=theirs, mode="clip")
+        np.subtract(theirs, own, out=theirs)
+        np.abs(theirs, out=theirs)
+        theirs.sum(axis=0, dtype=apart.dtype, out=apart[at : at + n])
+        at += n
+    return apart
 
 
 def searcher(indexes: dict[int, Pivots], open_share: float, prefix: int, rerank: float, k: int):
@@ -109,8 +123,9 @@ def searcher(indexes: dict[int, Pivots], open_share: float, prefix: int, rerank:
         pivots = indexes[vectors.shape[1]]
         ids, tags, files = (members[c].to_numpy() for c in ("rep", "tag", "file"))
         files = files - pivots.first
-        places, order = pivots.places(pivots.order(vectors)), pivots.order(own)
+        places, order = chunked(pivots.places(pivots.order(vectors))), pivots.order(own)
         opens, found = pivots.opens(order, open_share, MARGIN * k), []
+        room, picked = np.empty(min(prefix, order.shape[1]) * min(CHUNK, len(vectors)), dtype=np.int16), np.empty_like(vectors)
         for i, q in enumerate(own):
             seen = opens[i][files]
             n = int(np.count_nonzero(seen))
@@ -118,12 +133,12 @@ def searcher(indexes: dict[int, Pivots], open_share: float, prefix: int, rerank:
                 continue
             keep = int(np.ceil(rerank * n)) + MARGIN * k
             if keep < n:
-                apart = footrule(places, order[i, :prefix])
+                apart = footrule(places, order[i, :prefix], room)
                 apart[~seen] = np.iinfo(apart.dtype).max
                 at = np.argpartition(apart, keep - 1)[:keep]
             else:
                 at = np.flatnonzero(seen)
-            score = vectors[at] @ q
+            score = np.take(vectors, at, axis=0, out=picked[: len(at)], mode="clip") @ q
             if len(at) > k + 1:
                 # k + 1 ids, and all ties of the last place, so that the smaller id can win
                 good = score >= np.partition(score, len(score) - k - 1)[len(score) - k - 1]

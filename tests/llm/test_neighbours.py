@@ -77,10 +77,11 @@ def test_ids_with_several_vectors(spark, k):
 def test_work_is_pruned():
     """Only reranked members are scored: a member that the footrule puts last can't be found, however near."""
     draw = np.random.default_rng(5)
-    places = np.argsort(draw.random((256, 900)), axis=0).astype(np.uint8)
-    near = draw.permutation(256)[:96]
-    expected = np.abs(places[near].astype(int) - np.arange(96)[:, None]).sum(axis=0)
-    assert neighbours.footrule(places, near).tolist() == expected.tolist()
+    for pivots, members, prefix in ((256, 900, 96), (256, 5000, 96), (300, 2048, 300), (7, 10, 7)):
+        places = np.argsort(draw.random((pivots, members)), axis=0).astype(np.int16)
+        near = draw.permutation(pivots)[:prefix]
+        expected = np.abs(places[near].astype(int) - np.arange(prefix)[:, None]).sum(axis=0)
+        assert neighbours.footrule(neighbours.chunked(places), near, np.empty(prefix * neighbours.CHUNK, dtype=np.int16)).tolist() == expected.tolist()
 
 
 def test_blocks_are_even():
