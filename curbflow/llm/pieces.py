@@ -86,6 +86,11 @@ def read_model(path: str) -> tuple[list[tuple[bytes, float, int]], bool]:
 _LEAD = np.array([1] * 0x80 + [0] * 0x40 + [2] * 0x20 + [3] * 0x10 + [4] * 8 + [1] * 8, dtype=np.int32)
 
 
+def mark(segment: bytes) -> bytes:
+    """A segment with marks for its spaces."""
+    return segment.replace(_MARK, _OWN).replace(b" ", _MARK)
+
+
 class DoubleArray:
     """A trie over byte strings in two arrays: the child of state s by byte c is base[s] + c + 1 if check there is s."""
 
@@ -223,13 +228,13 @@ class Unigram:
             n = start
         return tuple(reversed(ids))
 
-    def learn(self, marked: set[bytes]) -> None:
+    def learn(self, segments: set[bytes]) -> None:
         """Solves those short segments that are not remembered, in groups of about one length."""
-        if len(self.known) + len(marked) > REMEMBERED:
+        if len(self.known) + len(segments) > REMEMBERED:
             self.known.clear()
-        new = sorted((s for s in marked if s not in self.known), key=lambda s: (len(s), s))
+        new = sorted((s for s in segments if s not in self.known), key=lambda s: (len(s), s))
         for at in range(0, len(new), TOGETHER):
-            self.known.update(zip(new[at : at + TOGETHER], self.solve(new[at : at + TOGETHER]), strict=True))
+            self.known.update(zip(new[at : at + TOGETHER], self.solve(list(map(mark, new[at : at + TOGETHER]))), strict=True))
 
     def matches(self, line: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
         """Runs of start positions, and (starts, ends, pieces) of all pieces that begin there: (low, high, ...)."""
@@ -277,18 +282,21 @@ class Unigram:
                     best[b], back[b], by[b] = reached, a, p
         return self.back(marked, np.frombuffer(back, dtype=np.int32), np.frombuffer(by, dtype=np.int32))
 
-    def solve_long(self, marked: bytes) -> list[int]:
-        parts = self.cut(marked)
+    def solve_long(self, segment: bytes) -> list[int]:
+        parts = [p.replace(_MARK, b" ").replace(_OWN, _MARK) for p in self.cut(mark(segment))]
         self.learn({p for p in parts if len(p) <= LONG})
-        return [i for p in parts for i in (self.known[p] if len(p) <= LONG else self.walk(p))]
+        return [i for p in parts for i in (self.known[p] if len(p) <= LONG else self.walk(mark(p)))]
 
     def encode(self, texts: list[bytes]) -> list[list[int]]:
         """Ids of whole texts. An empty text has none."""
-        cut = [[s.replace(_MARK, _OWN).replace(b" ", _MARK) for s in self.segments(t)] for t in texts]
+        cut = [self.segments(t) for t in texts]
         every = set().union(*cut)
-        long = {s: self.solve_long(s) for s in every if len(s) > LONG}
+        solved: dict = {s: self.solve_long(s) for s in every if len(s) > LONG}
         self.learn({s for s in every if len(s) <= LONG})
-        return [[i for s in own for i in (self.known[s] if len(s) <= LONG else long[s])] for own in cut]
+        known = self.known
+        if solved:
+            return [[i for s in own for i in (known[s] if len(s) <= LONG else solved[s])] for own in cut]
+        return [[i for s in own for i in known[s]] for own in cut]
 
     def decode(self, ids: list[int]) -> bytes:
         """The text of ids: marks become spaces, byte pieces their bytes, and a mark that begins the first piece goes."""
